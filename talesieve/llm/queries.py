@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talesieve.llm import bpe
+from talesieve.llm import bpe, lookalike
+from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking_pairs(records(spark, sf_dir, "novel", "chapter_num"), "rec_kind", "rec_id", ["novel", "chapter_num"])
+
+
+@query
+def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = lookalike.canonical_forms(records(spark, sf_dir), ["rec_kind", "rec_id"])
+    return forms.select("rec_kind", "rec_id", "canonical", "repaired")
