@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talesieve.llm import bpe, lookalike
+from talesieve.llm import bpe, lookalike, mojibake
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -33,3 +34,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = lookalike.canonical_forms(records(spark, sf_dir), ["rec_kind", "rec_id"])
     return forms.select("rec_kind", "rec_id", "canonical", "repaired")
+
+
+def _pooled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapters").select(F.lit("chapter").alias("rec_kind"), F.col("chapter_id").alias("rec_id"), F.col("site").alias("pool"), "text")
+    segments = table(spark, sf_dir, "segments").select(F.lit("segment").alias("rec_kind"), F.col("seg_id").alias("rec_id"), F.col("source").alias("pool"), "text")
+    return chapters.unionByName(segments)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.chain_posteriors(_pooled_records(spark, sf_dir), ["rec_kind", "rec_id"], ["rec_kind", "pool"]).select("rec_kind", "rec_id")
+
+
+@query
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(_pooled_records(spark, sf_dir), ["rec_kind", "rec_id"], ["rec_kind", "pool"])
