@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import bpe, lookalike, mojibake
+from talesieve.llm import boilerplate, bpe, lookalike, mojibake
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -50,3 +50,33 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(_pooled_records(spark, sf_dir), ["rec_kind", "rec_id"], ["rec_kind", "pool"])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.repeated_lines(table(spark, sf_dir, "chapters"), "chapter_id", "site")
+
+
+@query
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.without_repeated_lines(table(spark, sf_dir, "chapters"), "chapter_id", "site")
+
+
+@query
+def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boilerplate.frequent_sequences(table(spark, sf_dir, "chapters"), "chapter_id", "site")
+    return found.select("site", F.array_join("pattern", " ").alias("pattern"), "n_rows")
+
+
+_P5_LINES = """
+WITH line AS (
+  SELECT chapter_id, site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM chapters
+), keyed AS (
+  SELECT chapter_id, site, line_no, line, regexp_replace(lower(line), '[\\s\\p{Z}\\p{Nd}\\x{1C}-\\x{1F}\\x{85}]+', '', 'g') AS k,
+         regexp_replace(line, '[\\s\\p{Z}\\x{1C}-\\x{1F}\\x{85}]+', '', 'g') <> '' AS filled FROM line
+), frequent AS (
+  SELECT k.site, k.k FROM keyed k JOIN (SELECT site, count(*) AS n_all FROM chapters GROUP BY site) s ON k.site IS NOT DISTINCT FROM s.site
+  WHERE k.filled GROUP BY k.site, k.k, s.n_all HAVING count(DISTINCT k.chapter_id) >= 3 AND count(DISTINCT k.chapter_id) >= 0.03 * s.n_all
+)
+"""
+ORACLES["p5_found"] = _P5_LINES + "SELECT k.chapter_id, CAST(k.line_no AS INTEGER) AS line_no FROM keyed k JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k WHERE k.filled"
