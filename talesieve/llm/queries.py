@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, lookalike, mojibake
+from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -80,3 +80,21 @@ WITH line AS (
 )
 """
 ORACLES["p5_found"] = _P5_LINES + "SELECT k.chapter_id, CAST(k.line_no AS INTEGER) AS line_no FROM keyed k JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k WHERE k.filled"
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"tone": table(spark, sf_dir, "tone_profiles"), "type": table(spark, sf_dir, "segment_types")}
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_rows(table(spark, sf_dir, "segments"), "seg_id", _lists(spark, sf_dir))
+
+
+@query
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their rows."""
+    segments = table(spark, sf_dir, "segments")
+    found = p4_found(spark, sf_dir).where("canonical = 'unmatched'")
+    typed = segments.select("seg_id", F.explode(F.map_from_arrays(F.array(F.lit("tone"), F.lit("type")), F.array("tone", "type"))).alias("field", "value"))
+    return typed.join(found, ["seg_id", "field"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
