@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake
+from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake, names
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -98,3 +98,14 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p4_found(spark, sf_dir).where("canonical = 'unmatched'")
     typed = segments.select("seg_id", F.explode(F.map_from_arrays(F.array(F.lit("tone"), F.lit("type")), F.array("tone", "type"))).alias("field", "value"))
     return typed.join(found, ["seg_id", "field"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "segments").select("novel", F.col("speaker").alias("name")).distinct()
+    keys = table(spark, sf_dir, "speakers").select(F.regexp_extract("novel_dir", "([^/]*)$", 1).alias("novel"), F.explode(F.map_keys("characters")).alias("name"))
+    return typed.unionByName(keys)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(_spellings(spark, sf_dir), "novel", "name")
