@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake, names
+from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake, names, sentences
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -109,3 +109,11 @@ def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_pairs(_spellings(spark, sf_dir), "novel", "name")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapters").select(F.lit("chapter").alias("rec_kind"), F.col("chapter_id").alias("rec_id"), F.lit("line").alias("heading"), "text")
+    segments = table(spark, sf_dir, "segments").select(F.lit("segment").alias("rec_kind"), F.col("seg_id").alias("rec_id"), F.when(F.col("index") == 0, "all").otherwise("none").alias("heading"), "text")
+    # chapters train the models: their lines are whole
+    return sentences.split_texts(chapters.unionByName(segments), ["rec_kind", "rec_id"], heading="heading", training=chapters)
