@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, canonical, lookalike, mojibake, names, sentences
+from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, sentences
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -117,3 +117,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "segments").select(F.lit("segment").alias("rec_kind"), F.col("seg_id").alias("rec_id"), F.when(F.col("index") == 0, "all").otherwise("none").alias("heading"), "text")
     # chapters train the models: their lines are whole
     return sentences.split_texts(chapters.unionByName(segments), ["rec_kind", "rec_id"], heading="heading", training=chapters)
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_texts(table(spark, sf_dir, "segments"), table(spark, sf_dir, "chapters"), ["novel", "chapter_num"], "index", "seg_id")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir).select("seg_id")
+
+
+@query
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut segments of each source."""
+    segments = table(spark, sf_dir, "segments").select("seg_id", "source")
+    marked = segments.join(_cut(spark, sf_dir).select("seg_id", F.lit(1).alias("cut")), "seg_id", "left")
+    return marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_segments"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count(F.lit(1)), 6).alias("share"))
