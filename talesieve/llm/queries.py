@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, sentences
+from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, sentences, spans
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -134,3 +134,13 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "segments").select("seg_id", "source")
     marked = segments.join(_cut(spark, sf_dir).select("seg_id", F.lit(1).alias("cut")), "seg_id", "left")
     return marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_segments"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count(F.lit(1)), 6).alias("share"))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_shares(table(spark, sf_dir, "documents"))
