@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, sentences, spans
+from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, packing, sentences, spans
 from talesieve.llm.arrowrun import records
 from talesieve.sources.tables import table
 
@@ -144,3 +144,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("cluster"), "text")
+    return packing.pack(bpe.token_lengths(documents), "doc_id", "n_tokens", "source", "cluster")
+
+
+@query
+def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    held = p9_containers(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("length").alias("held"), F.max("clash").alias("clash"))
+    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.ceil(F.sum("held") / packing.CAPACITY).alias("least_containers"), F.round(F.sum("held") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("used"), F.sum(F.col("clash").cast("int")).alias("n_clashing"))
