@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talesieve import schema
 from talesieve.functions import text as X
@@ -45,7 +46,7 @@ def resolved_voices(segments: DataFrame, registry: DataFrame, key: str, speaker:
     return joined.withColumn("voice", F.coalesce("v.voice", other)).withColumn("speed_variant", F.coalesce("v.speed", F.lit(1.0))).drop("v", "unknown_voice")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Decomposed, ASCII only, lower case, without white space at the ends."""
     for batch in names:

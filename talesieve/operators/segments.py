@@ -85,7 +85,7 @@ def merged(df: DataFrame, key: list[str], order: list[str], starts: DataFrame |
 
 def paragraph_starts(chapters: DataFrame, key: list[str]) -> DataFrame:
     """Fingerprints of all paragraphs of a key's texts."""
-    return chapters.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list(F.transform(X.paragraphs(F.col("text")), X.fingerprint)))).alias("starts"))
+    return chapters.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list(F.transform(X.paragraphs(F.col("text")), lambda p: X.fingerprint(p))))).alias("starts"))
 
 
 def source_position(segment: Column, source: Column) -> Column:
