@@ -99,7 +99,7 @@ def patched(old: DataFrame, commands: DataFrame, key: list[str]) -> DataFrame:
     MARK_DORMANT or REACTIVATE of one unknown to both the old state and the commands before it is rejected; a PRUNE is rejected
     if the old state has the key active or not at all. Result: key, status, fields, notes, n_rejected; pruned keys are left out.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "cmd", "fields", "notes")))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "cmd", "fields", "notes")), lambda a, b: a["seq"] - b["seq"])
     folded = commands.groupBy(*key).agg(ordered.alias("cmds"))
     base = old.select(*key, F.col("status").alias("s0"), F.col("fields").alias("f0"), F.col("notes").alias("n0"))
     rows = base.join(folded, key, "full_outer")

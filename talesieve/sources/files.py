@@ -14,13 +14,13 @@ REGISTRY = "characters map<string,struct<xtts_speaker:string,gender:string,cast_
 
 def chapters(spark: SparkSession, root: str) -> DataFrame:
     """``novel, chapter_num, path, text`` of <root>/<novel>/input/chapter_<n>.txt; files are read whole, names filtered first."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "chapter_*.txt").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "chapter_*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(X.novel_of_path(path).alias("novel"), X.chapter_of_path(path).alias("chapter_num"), path.alias("path"), F.col("value").alias("text"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def registries(spark: SparkSession, path: str) -> DataFrame:
