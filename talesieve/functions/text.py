@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 INTERJECTIONS = "Ah Oh Eh Uh Mm Hmm Hm Ha Hah Whoa Ooh Aah Aww".split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from talesieve.functions import text as X
 
 
-def packed(pieces: Column, limit: int) -> Column:
-    """Pieces joined by blanks while the chunk's length, the piece's and one more stay within the limit."""
+def packed(pieces: Column, limit: int, bare: bool = False) -> Column:
+    """Pieces joined by blanks while the chunk's length, the piece's and one more stay within the limit.
+
+    ``bare``: no piece has white space at its ends, so that none has to be looked for.
+    """
+    join = (lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))) if bare else (lambda a, b: X.strip(F.concat_ws(" ", a, b)))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
     def step(acc: Column, piece: Column) -> Column:
         fits = F.length(acc["cur"]) + F.length(piece) + 1 <= limit
-        grown = F.struct(acc["out"].alias("out"), X.strip(F.concat_ws(" ", acc["cur"], piece)).alias("cur"))
+        grown = F.struct(acc["out"].alias("out"), join(acc["cur"], piece).alias("cur"))
         flushed = F.struct(F.when(acc["cur"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])).alias("out"), piece.alias("cur"))
         return F.when(fits, grown).otherwise(flushed)
 
@@ -27,7 +31,7 @@ def sentence_chunks(text: Column, limit: int = 150) -> Column:
 
 
 def word_chunks(text: Column, limit: int) -> Column:
-    return packed(X.tokens(text), limit)
+    return packed(X.tokens(text), limit, bare=True)
 
 
 def spoken_chunks(text: Column, limit: int = 200) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -88,27 +88,36 @@ def _from(lines: Column, k: Column) -> Column:
     return F.slice(lines, k + 1, F.greatest(F.size(lines) - k, F.lit(0)))
 
 
+def _places(lines: Column, holds: Callable[[Column], Column]) -> Column:
+    """Indices of the lines for which a condition holds."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(holds(x), i)))
+
+
 def from_heading(text: Column) -> Column:
     """From the first chapter heading on; from the last one if both say the same; else unchanged."""
-    lines = F.split(text, "\n", -1)
-    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"(?i)^\s*Chapter\s+\d+"), i)), lambda i: i.isNotNull())
-    first, last = F.get(at, F.lit(0)), F.get(at, F.size(at) - 1)
-    same = F.lower(X.strip(F.get(lines, first))) == F.lower(X.strip(F.get(lines, last)))
-    return F.when(F.size(at) == 0, text).otherwise(X.strip(F.array_join(_from(lines, F.when(same, last).otherwise(first)), "\n")))
+
+    def cut(lines: Column, at: Column) -> Column:
+        first, last = F.get(at, F.lit(0)), F.get(at, F.size(at) - 1)
+        same = F.lower(X.strip(F.get(lines, first))) == F.lower(X.strip(F.get(lines, last)))
+        return X.strip(F.array_join(_from(lines, F.when(same, last).otherwise(first)), "\n"))
+
+    heads = lambda lines: _places(lines, lambda x: x.rlike(r"(?i)^\s*Chapter\s+\d+"))
+    return X.let(F.split(text, "\n", -1), lambda lines: X.let(heads(lines), lambda at: F.when(F.size(at) == 0, F.array_join(lines, "\n")).otherwise(cut(lines, at))))
 
 
 def without_below(text: Column) -> Column:
     """Up to the first line that begins another part, without the site's lines at the end."""
-    lines = F.split(F.regexp_replace(text, r"(?U)\s+\z", ""), "\n", -1)
-    cuts = F.filter(F.transform(lines, lambda x, i: F.when(X.strip(x).rlike(CUT_FROM), i)), lambda i: i.isNotNull())
-    story = F.slice(lines, 1, F.coalesce(F.get(cuts, F.lit(0)), F.size(lines)))
-    stays = F.filter(F.transform(story, lambda x, i: F.when((X.strip(x) != "") & ~X.strip(x).rlike(BELOW), i)), lambda i: i.isNotNull())
-    return F.regexp_replace(F.array_join(F.slice(story, 1, F.coalesce(F.get(stays, F.size(stays) - 1) + 1, F.lit(0))), "\n"), r"(?U)\s+\z", "")
+    end = r"(?U)\s+\z"
+    cuts = lambda lines: _places(lines, lambda x: X.strip(x).rlike(CUT_FROM))
+    stays = lambda lines: _places(lines, lambda x: X.let(X.strip(x), lambda s: (s != "") & ~s.rlike(BELOW)))
+    story = lambda lines: X.let(cuts(lines), lambda c: F.slice(lines, 1, F.coalesce(F.get(c, F.lit(0)), F.size(lines))))
+    kept = lambda lines: X.let(stays(lines), lambda at: F.array_join(F.slice(lines, 1, F.coalesce(F.get(at, F.size(at) - 1) + 1, F.lit(0))), "\n"))
+    return F.regexp_replace(X.let(F.split(F.regexp_replace(text, end, ""), "\n", -1), lambda lines: X.let(story(lines), kept)), end, "")
 
 
 def cleaned(text: Column) -> Column:
     """Single blank lines, straight quotes, from the heading to the story's end."""
-    return without_below(from_heading(X.straight_quotes(single_blanks(text))))
+    return X.let(X.straight_quotes(single_blanks(text)), lambda t: X.let(from_heading(t), without_below))
 
 
 def absolute(href: Column, url: Column) -> Column:
