@@ -159,3 +159,13 @@ def character_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^\\w\\s-]', '', 'g'), '[\\s-]+', '_', 'g') AS slug FROM part")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"))
+
+
+@query()
+def casting_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered character cast anew, its own voice proposed; who is refused reuses a voice."""
+    from talesieve.plans import pipelines
+
+    reg = _registry(spark, sf_dir)
+    asked = reg.select("novel", "pos", "name", F.col("xtts_speaker").alias("voice"))
+    return pipelines.cast(reg.select("novel", "pos", "name", "gender"), reg, asked, table(spark, sf_dir, "voices"), ["Wynengan Emaruun"], "novel", mode="all")

@@ -210,3 +210,22 @@ def continuation_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rows.select(*KEY, F.posexplode(F.array(first, second)).alias("seq", "raw"))
     whole = jsonrepair.stitched(parts, KEY, "seq")
     return jsonrepair.recovered(whole).select(*KEY, "n_parts", F.size("segments").alias("n_segments"))
+
+
+@query(f"""WITH {_VALID}, {CH}, n AS (SELECT novel, chapter_num, count(*) AS n, CASE WHEN max(CASE WHEN regexp_matches(text, '[\\[\\]{{}}\\\\]') THEN 1 ELSE 0 END) = 0 THEN chapter_num % 5 ELSE 0 END AS how, list_distinct(flatten(list({WORDS.format("text")}))) AS ws FROM ok GROUP BY novel, chapter_num),
+h AS (SELECT novel, chapter_num, n, how, CASE WHEN how = 4 THEN list_concat(ws, ['she', 'said', 'no', 'and']) ELSE ws END AS ws FROM n), c AS (SELECT novel, chapter_num, list_distinct({WORDS.format("coalesce(text, '')")}) AS cw FROM ch)
+SELECT novel, chapter_num, CASE how WHEN 3 THEN 'repaired' WHEN 4 THEN 'partial' ELSE 'ok' END AS status, CAST(n AS INTEGER) AS n_segments, CAST(len(cw) AS INTEGER) AS n_source_words, round(CASE WHEN len(cw) = 0 THEN 1.0 ELSE len(list_intersect(cw, ws)) / len(cw) END, 6) AS coverage FROM h LEFT JOIN c USING (novel, chapter_num)""")
+def inspect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talesieve.plans import pipelines
+
+    return pipelines.inspected(_responses(spark, sf_dir), chapters(spark, sf_dir), KEY)
+
+
+@query()
+def parse_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chapters through the stand-in labeller: labelled, repaired, narration put in, merged."""
+    from talesieve.operators.labelling import offline_labeller
+    from talesieve.plans import pipelines
+
+    rows = pipelines.parsed(chapters(spark, sf_dir), KEY, offline_labeller)
+    return rows.select(*KEY, "index", "type", F.length("text").alias("n_chars"), "n_merged")
