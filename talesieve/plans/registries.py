@@ -46,7 +46,11 @@ def tone_profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.withColumn("tone", F.when(F.col("is_known"), F.col("tone")).otherwise("neutral")).join(known, "tone").select("seg_id", "speed", "temperature", "top_k")
 
 
-@query()
+_FOLDED = "trim(lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')))"
+
+
+@query(f"""WITH {_REG}, keys AS (SELECT DISTINCT name FROM reg), asked AS (SELECT DISTINCT replace(speaker, ' ', '_') AS name FROM segments WHERE speaker IS NOT NULL), k AS (SELECT {_FOLDED.replace('{0}', 'name')} AS f, max(name) AS by_fold FROM keys GROUP BY f)
+SELECT a.name, coalesce(e.name, by_fold) AS found, CASE WHEN e.name IS NOT NULL THEN 'exact' WHEN by_fold IS NOT NULL THEN 'folded' ELSE 'missing' END AS how FROM asked a LEFT JOIN keys e ON e.name = a.name LEFT JOIN k ON k.f = {_FOLDED.replace('{0}', 'a.name')}""")
 def fuzzy_speaker_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "segments").select(F.replace("speaker", F.lit(" "), F.lit("_")).alias("name")).where("name is not null").distinct()
     return R.fuzzy_keys(asked, _registry(spark, sf_dir).select("name").distinct())
@@ -66,9 +70,12 @@ def voices_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESERVED = "('Wynengan Emaruun')"
 
 
-@query(f"""WITH {_REG}, asked AS (SELECT novel, pos, name, xtts_speaker AS voice, lower(coalesce(gender, 'unknown')) AS g FROM reg), j AS (SELECT a.*, lower(v.gender) AS vg, v.name IS NOT NULL AS ok FROM asked a LEFT JOIN voices v ON v.name = a.voice),
+_JUDGED = f"""{_REG}, asked AS (SELECT novel, pos, name, xtts_speaker AS voice, lower(coalesce(gender, 'unknown')) AS g FROM reg), j AS (SELECT a.*, lower(v.gender) AS vg, v.name IS NOT NULL AS ok FROM asked a LEFT JOIN voices v ON v.name = a.voice),
 r AS (SELECT *, CASE WHEN NOT ok THEN 'invalid_voice' WHEN voice IN {_RESERVED} THEN 'reserved' END AS refusal FROM j), x AS (SELECT *, row_number() OVER (PARTITION BY novel, voice, refusal IS NULL ORDER BY pos) AS n FROM r),
-y AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN n > 1 THEN 'taken' ELSE 'ok' END AS verdict FROM x)
+y AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN n > 1 THEN 'taken' ELSE 'ok' END AS verdict FROM x)"""
+
+
+@query(f"""WITH {_JUDGED}
 SELECT novel, CAST(pos AS INTEGER) AS pos, name, voice, verdict, coalesce(g <> 'unknown' AND g <> vg, false) AND verdict = 'ok' AS gender_warning FROM y""")
 def validate_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = _registry(spark, sf_dir)
@@ -77,7 +84,13 @@ def validate_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.judged_assignments(asked, reg, table(spark, sf_dir, "voices"), nobody, ["Wynengan Emaruun"], "novel")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_JUDGED}, wait AS (SELECT novel, pos, name, g, row_number() OVER (PARTITION BY novel ORDER BY pos, name) AS i FROM y WHERE verdict = 'taken'),
+u AS (SELECT novel, xtts_speaker AS voice, count(*) AS uses FROM reg WHERE is_overflow GROUP BY ALL), pool AS (SELECT y.novel, list(y.voice ORDER BY y.pos) AS vs, list(y.vg ORDER BY y.pos) AS gs, list(coalesce(uses, 0) ORDER BY y.pos) AS us FROM y LEFT JOIN u ON u.novel = y.novel AND u.voice = y.voice WHERE verdict = 'ok' GROUP BY y.novel),
+f AS (SELECT novel, CAST(0 AS BIGINT) AS i, us, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS n FROM pool
+  UNION ALL SELECT novel, i, CASE WHEN best IS NULL THEN us ELSE list_transform(range(1, len(us) + 1), lambda j: us[j] + CASE WHEN j = best.k THEN 1 ELSE 0 END) END, best.k, best.u FROM (
+    SELECT novel, i, us, list_sort(CASE WHEN len(list_filter(free, lambda s: g = 'unknown' OR s.g = 'unknown' OR s.g = g)) > 0 THEN list_filter(free, lambda s: g = 'unknown' OR s.g = 'unknown' OR s.g = g) ELSE free END)[1] AS best FROM (
+      SELECT f.novel, w.i, w.g, f.us, list_filter(list_transform(range(1, len(f.us) + 1), lambda j: {{'u': f.us[j], 'k': j, 'g': p.gs[j]}}), lambda s: s.u < 6) AS free FROM f JOIN wait w ON w.novel = f.novel AND w.i = f.i + 1 JOIN pool p ON p.novel = f.novel)))
+SELECT f.novel, CAST(w.pos AS INTEGER) AS pos, w.name, p.vs[f.k] AS voice, CAST(([{", ".join(map(str, schema.SPEED_OFFSETS))}])[f.n + 1] AS DOUBLE) AS speed_variant FROM f JOIN wait w USING (novel, i) JOIN pool p ON p.novel = f.novel""")
 def overflow_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters whose voice was taken, given a used one at another speed."""
     judged = validate_assignments(spark, sf_dir)
@@ -104,7 +117,14 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.snapshot_changes(_snapshot(R.oldest(files, "novel")), _snapshot(R.newest(files, "novel")), ["novel", "name"])
 
 
-@query()
+@query(f"""WITH {_SNAP}, {_ENTRIES.format("reg", "newest")}, sv AS (SELECT novel, unnest(map_keys(dormant_voices)) AS name, unnest(map_values(dormant_voices)).xtts_speaker AS saved FROM newest WHERE dormant_voices IS NOT NULL),
+c AS (SELECT novel, name, os.st AS new_st, ns.st AS old_st FROM os FULL JOIN ns USING (novel, name) WHERE name NOT IN ('narrator', 'system', 'unknown')),
+r AS (SELECT c.*, reg.xtts_speaker AS held, sv.saved FROM c LEFT JOIN reg USING (novel, name) LEFT JOIN sv USING (novel, name)),
+stays AS (SELECT DISTINCT novel, held AS saved FROM r WHERE held IS NOT NULL AND new_st = 'active'),
+x AS (SELECT r.*, old_st = 'dormant' AND new_st = 'active' AS back, stays.saved IS NOT NULL AS in_use FROM r LEFT JOIN stays ON stays.novel = r.novel AND stays.saved = r.saved),
+y AS (SELECT *, row_number() OVER (PARTITION BY novel, saved, back ORDER BY name) AS n FROM x),
+z AS (SELECT novel, name, CASE WHEN new_st IS NULL AND (held IS NOT NULL OR saved IS NOT NULL) THEN 'remove' WHEN new_st = 'dormant' AND held IS NOT NULL THEN 'free' WHEN back AND saved IS NOT NULL AND NOT in_use AND n = 1 THEN 'restore' WHEN back THEN 'needs_cast' END AS action, coalesce(held, saved) AS voice FROM y)
+SELECT * FROM z WHERE action IS NOT NULL""")
 def registry_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the newest file back to the oldest, so that characters go dormant, return and are pruned."""
     files = registry_files(spark, sf_dir)

@@ -153,7 +153,16 @@ def word_pack_200(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("c").alias("n_chunks"), F.array_max(F.transform("c", F.length)).alias("longest"))
 
 
-@query()
+_PIECES = f"""flatten(list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {STRIP.format("s")} <> ''), lambda s: CASE WHEN length(s) <= 200 THEN [s] ELSE
+  flatten(list_transform(string_split(regexp_replace(s, '([,;:—])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda c: CASE WHEN length(c) <= 200 THEN [c] ELSE list_concat([''], {TOKENS.format("c")}) END)) END))"""
+
+
+@query(f"""WITH RECURSIVE {_VALID}, long AS (SELECT seg_id, {_PIECES} AS ts FROM ok WHERE length(text) > 200), tok AS (SELECT seg_id, unnest(ts) AS p, unnest(range(1, len(ts) + 1)) AS i FROM long),
+f AS (SELECT DISTINCT seg_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, '' AS cur FROM long
+  UNION ALL SELECT t.seg_id, t.i, CASE WHEN t.p <> '' AND length(cur) + length(t.p) + 1 <= 200 OR cur = '' THEN k ELSE k + 1 END,
+  CASE WHEN t.p <> '' AND length(cur) + length(t.p) + 1 <= 200 THEN {STRIP.format("cur || ' ' || t.p")} ELSE t.p END FROM f JOIN tok t ON t.seg_id = f.seg_id AND t.i = f.i + 1),
+c AS (SELECT seg_id, k, arg_max(cur, i) AS chunk FROM f GROUP BY seg_id, k)
+SELECT seg_id, CAST(k AS INTEGER) AS chunk_no, chunk FROM c WHERE {STRIP.format("chunk")} <> '' UNION ALL SELECT seg_id, 0, text FROM ok WHERE length(text) <= 200""")
 def greedy_pack_200(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _valid(spark, sf_dir).select("seg_id", F.posexplode(chunking.spoken_chunks(F.col("text"))).alias("chunk_no", "chunk"))
     return rows
