@@ -157,3 +157,21 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     held = p9_containers(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("length").alias("held"), F.max("clash").alias("clash"))
     return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.ceil(F.sum("held") / packing.CAPACITY).alias("least_containers"), F.round(F.sum("held") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("used"), F.sum(F.col("clash").cast("int")).alias("n_clashing"))
+
+
+ORACLES["p5_clean"] = (
+    _P5_LINES
+    + """, kept AS (SELECT k.chapter_id, k.line_no, k.line, k.filled AND f.k IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k AND k.filled),
+t AS (SELECT chapter_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS text, CAST(count(*) FILTER (gone) AS INTEGER) AS n_deleted FROM kept GROUP BY chapter_id)
+SELECT c.chapter_id, t.text, coalesce(n_deleted, 0) AS n_deleted FROM chapters c LEFT JOIN t USING (chapter_id)"""
+)
+_P10_WINDOWS = """
+WITH long AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200), w AS (SELECT doc_id, i, md5(substring(text, i, 200)) AS h FROM long)
+"""
+ORACLES["p10_found"] = _P10_WINDOWS + ", d AS (SELECT DISTINCT doc_id, h FROM w) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"
+ORACLES["p10_shares"] = (
+    _P10_WINDOWS
+    + """, several AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM w SEMI JOIN several USING (h)),
+s AS (SELECT doc_id, sum(least(200, coalesce(following - i, 200))) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, coalesce(round(n / nullif(length(text), 0), 6), 0.0) AS share FROM documents d LEFT JOIN s USING (doc_id)"""
+)
