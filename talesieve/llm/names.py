@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from itertools import permutations
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,7 @@ for _formal, _pets in PET_NAMES.items():
     for _pet in _pets.split():
         _FORMAL.setdefault(_pet, []).append(_formal)
 _SHORT_ORG = {s: n for n, shorts in ORGANISATIONS.items() for s in shorts.split()}
+_NEAR_ORGANISATIONS = {d for o in ORGANISATIONS if len(o) > 3 for d in deletions(o, 1)}
 _SMALL = {"of", "the", "and"}
 _pet_ending = re.compile("^(.{3,5}?)(?:y|ie|i|ey)$")
 _word = re.compile(r"([^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_])|[̀-ͯ])*)(\.?)")
@@ -66,6 +68,24 @@ def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ")
 
 
+def _without_small(words: list[str]) -> list[str]:
+    """Words of an organisation without 'of' and 'the', also where these are mistyped in their usual places."""
+    slip = lambda w, small: len(w) <= len(small) + 1 and edit_distance(w, small) <= 1
+    out, article, before = [], "the" in words, ""
+    for i, w in enumerate(words):
+        after = words[i + 1] if i + 1 < len(words) else ""
+        if w in _SMALL:
+            before = w
+        elif "of" not in words and i and after and slip(w, "of") and (after == "the" or slip(after, "the")):
+            before = "of"
+        elif not article and after and slip(w, "the") and (i == 0 or before == "of"):
+            before = "the"
+        else:
+            out.append(w)
+            before = ""
+    return out
+
+
 def parse(name: str) -> tuple[str, list[str], list[str]] | None:
     """Kind ('full', 'short' or 'acronym'), complete tokens and initials, both in order of the alphabet; None: no name."""
     text = compose(name)
@@ -82,7 +102,7 @@ def parse(name: str) -> tuple[str, list[str], list[str]] | None:
     is_org = any(w in _SMALL or w in ORGANISATIONS for w, _ in found) or found[0][1] and found[0][0] in _SHORT_ORG and len(found) > 2
     if is_org:
         words = [_SHORT_ORG.get(w, w) if dot else w for w, dot in found]
-        words = [w for w in words if w not in _SMALL and not (len(w) <= 4 and min(edit_distance(w, "the"), edit_distance(w, "of")) <= 1 and w not in _SHORT_ORG)]
+        words = _without_small(words)
         return ("full" if len(words) > 1 else "short", sorted(words), []) if words else None
     while len(found) > 1 and found[0][0] in TITLES and (len(found[0][0]) > 1):
         found = found[1:]
@@ -114,6 +134,12 @@ def assigned_cost(a: list[str], b: list[str]) -> int:
     return min((sum(map(edit_distance, left, p)) for p in permutations(right)), default=0)
 
 
+@lru_cache(100_000)
+def _names_organisation(token: str) -> bool:
+    """Whether a token is an organisation's noun, or one but for a slip."""
+    return token in ORGANISATIONS or len(token) > 3 and not _NEAR_ORGANISATIONS.isdisjoint(deletions(token, 1)) and min(edit_distance(token, o) for o in ORGANISATIONS) <= 1
+
+
 def offered_keys(whole: list[str], initials: list[str]) -> set[str]:
     """Under which a name can be found by shorter spellings."""
     keys = {f"s:{t}" for t in whole}
@@ -122,12 +148,12 @@ def offered_keys(whole: list[str], initials: list[str]) -> set[str]:
         keys.add(f"i:{t[0]}|{rest}")
         keys.add(f"x:{' '.join(whole)}")
         for k in (3, 4, 5):
-            if len(t) > k + 1:
+            if len(t) > k:
                 keys |= {f"n:{t[:k]}|{rest}", f"n:{t[:k]}|"}
                 keys |= {f"n:{t[:k]}|{o[0]}." for j, o in enumerate(whole) if j != i}
         if t in ORGANISATIONS:
             keys.add(f"o:{rest}")
-    if any(t in ORGANISATIONS for t in whole):
+    if any(map(_names_organisation, whole)):
         keys.add("a:" + "".join(sorted(t[0] for t in whole)))
     if initials:
         keys |= {f"i:{''.join(initials)}|{' '.join(whole)}"}
