@@ -140,51 +140,53 @@ def _names_organisation(token: str) -> bool:
     return token in ORGANISATIONS or len(token) > 3 and not _NEAR_ORGANISATIONS.isdisjoint(deletions(token, 1)) and min(edit_distance(token, o) for o in ORGANISATIONS) <= 1
 
 
-def offered_keys(whole: list[str], initials: list[str]) -> set[str]:
-    """Under which a name can be found by shorter spellings."""
-    keys = {f"s:{t}" for t in whole}
+def offered_keys(whole: list[str], initials: list[str]) -> list[tuple[str, str]]:
+    """Keys under which a name can be found by shorter spellings; with a key for pet names, the token that it stands for."""
+    keys = {(f"s:{t}", "") for t in whole} | {(f"x:{' '.join(whole)}", "")}
     for i, t in enumerate(whole):
-        rest = " ".join(whole[:i] + whole[i + 1 :])
-        keys.add(f"i:{t[0]}|{rest}")
-        keys.add(f"x:{' '.join(whole)}")
-        for k in (3, 4, 5):
-            if len(t) > k:
-                keys |= {f"n:{t[:k]}|{rest}", f"n:{t[:k]}|"}
-                keys |= {f"n:{t[:k]}|{o[0]}." for j, o in enumerate(whole) if j != i}
+        others = whole[:i] + whole[i + 1 :]
+        rest = " ".join(others)
+        keys.add((f"i:{t[0]}|{rest}", ""))
+        if len(t) > 3:
+            keys |= {(f"n:{t[:3]}|{tail}", t) for tail in (rest, "", *(f"{o[0]}." for o in others))}
         if t in ORGANISATIONS:
-            keys.add(f"o:{rest}")
+            keys.add((f"o:{rest}", ""))
     if any(map(_names_organisation, whole)):
-        keys.add("a:" + "".join(sorted(t[0] for t in whole)))
+        keys.add(("a:" + "".join(sorted(t[0] for t in whole)), ""))
     if initials:
-        keys |= {f"i:{''.join(initials)}|{' '.join(whole)}"}
-    return keys
+        keys.add((f"i:{''.join(initials)}|{' '.join(whole)}", ""))
+    return sorted(keys)
 
 
-def asked_keys(kind: str, whole: list[str], initials: list[str]) -> list[tuple[int, str]]:
-    """Keys that a spelling looks for, those of the least rank first."""
+def asked_keys(kind: str, whole: list[str], initials: list[str]) -> list[tuple[int, str, str]]:
+    """Rank, key and stem of what a spelling looks for: those of the least rank first; the stem must begin the token found."""
     if kind == "acronym":
-        return [(0, "a:" + "".join(sorted(initials)))]
+        return [(0, "a:" + "".join(sorted(initials)), "")]
     asked = []
     for i, t in enumerate(whole):
         rest = whole[:i] + whole[i + 1 :]
         for formal in _FORMAL.get(t, []):
             if rest and not initials:
-                asked.append((1, "x:" + " ".join(sorted([*rest, formal]))))
+                asked.append((1, "x:" + " ".join(sorted([*rest, formal])), ""))
             elif initials and not rest:
-                asked.append((1, f"i:{''.join(initials)}|{formal}"))
+                asked.append((1, f"i:{''.join(initials)}|{formal}", ""))
             elif not rest:
-                asked.append((1, f"s:{formal}"))
+                asked.append((1, f"s:{formal}", ""))
         if m := _pet_ending.match(t):
-            asked.append((2, f"n:{m[1]}|" + (f"{initials[0]}." if initials else " ".join(rest))))
+            asked.append((2, f"n:{m[1][:3]}|" + (f"{initials[0]}." if initials else " ".join(rest)), m[1]))
     if kind == "short":
         if initials:
-            asked.append((0, f"i:{''.join(initials)}|{' '.join(whole)}"))
+            asked.append((0, f"i:{''.join(initials)}|{' '.join(whole)}", ""))
         elif len(whole) == 1:
-            asked.append((0, f"s:{whole[0]}"))
-        asked.append((3, f"o:{' '.join(whole)}"))
+            asked.append((0, f"s:{whole[0]}", ""))
+        asked.append((3, f"o:{' '.join(whole)}", ""))
     return asked
 
 
+def _tokens_of(form: str) -> list[str]:
+    return form.partition(":")[2].partition("|")[0].split(" ")
+
+
 def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     """Pairs ``name_a < name_b`` of different spellings of one name within a scope.
 
@@ -202,39 +204,39 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     forms = parsed.groupBy("at", "form").agg(F.first("kind").alias("kind"), F.first("whole").alias("whole"), F.first("initials").alias("initials"))
     full = forms.where("kind = 'full'").select("at", "form", "whole")
 
-    key_schema = T._parse_datatype_string("at string, form string, whole array<string>, key string")
+    key_schema = T._parse_datatype_string("at string, form string, key string")
 
     def slips(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(a, f, w, k) for a, f, w in zip(cols["at"], cols["form"], cols["whole"]) for k in slip_keys(w)]
+        rows = [(a, f, k) for a, f in zip(cols["at"], cols["form"]) for k in slip_keys(_tokens_of(f))]
         return {c: [r[i] for r in rows] for i, c in enumerate(key_schema.names)}
 
-    keyed = map_columns(full, key_schema, slips)
+    keyed = map_columns(full.select("at", "form"), key_schema, slips)
     near_schema = T._parse_datatype_string("at string, a string, b string")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(t, x, y) for t, x, y, p, q in zip(cols["at"], cols["a"], cols["b"], cols["wa"], cols["wb"]) if assigned_cost(p, q) <= 1]
+        rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= 1]
         return {c: [r[i] for r in rows] for i, c in enumerate(near_schema.names)}
 
-    met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.at") == F.col("q.at")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.form") < F.col("q.form"))).select(F.col("p.at").alias("at"), F.col("p.form").alias("a"), F.col("q.form").alias("b"), F.col("p.whole").alias("wa"), F.col("q.whole").alias("wb")).dropDuplicates(["at", "a", "b"])
+    met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.at") == F.col("q.at")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.form") < F.col("q.form"))).select(F.col("p.at").alias("at"), F.col("p.form").alias("a"), F.col("q.form").alias("b")).distinct()
     near = map_columns(met, near_schema, judge)
     names_of = components(full.select("at", "form"), near)
 
-    offer_schema = T._parse_datatype_string("at string, label string, key string")
+    offer_schema = T._parse_datatype_string("at string, label string, key string, token string")
 
     def offers(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(a, c, k) for a, c, w, i in zip(cols["at"], cols["label"], cols["whole"], cols["initials"]) for k in offered_keys(w, i)]
+        rows = [(a, c, k, t) for a, c, w, i in zip(cols["at"], cols["label"], cols["whole"], cols["initials"]) for k, t in offered_keys(w, i)]
         return {c: [r[i] for r in rows] for i, c in enumerate(offer_schema.names)}
 
-    ask_schema = T._parse_datatype_string("at string, form string, rank int, key string")
+    ask_schema = T._parse_datatype_string("at string, form string, rank int, key string, stem string")
 
     def asks(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(a, f, r, k) for a, f, t, w, i in zip(cols["at"], cols["form"], cols["kind"], cols["whole"], cols["initials"]) for r, k in asked_keys(t, w, i)]
+        rows = [(a, f, *k) for a, f, t, w, i in zip(cols["at"], cols["form"], cols["kind"], cols["whole"], cols["initials"]) for k in asked_keys(t, w, i)]
         return {c: [r[i] for r in rows] for i, c in enumerate(ask_schema.names)}
 
     def fit(asking: DataFrame, offering: DataFrame) -> DataFrame:
         """Of each asking form, the only name that fits at the least rank at which any fits."""
-        got = map_columns(asking.select("at", "form", "kind", "whole", "initials"), ask_schema, asks).join(map_columns(offering.select("at", "label", "whole", "initials"), offer_schema, offers).distinct(), ["at", "key"])
-        got = got.where(F.col("form") != F.col("label"))
+        got = map_columns(asking.select("at", "form", "kind", "whole", "initials"), ask_schema, asks).join(map_columns(offering.select("at", "label", "whole", "initials"), offer_schema, offers), ["at", "key"])
+        got = got.where((F.col("form") != F.col("label")) & F.startswith("token", F.col("stem")))
         ranked = got.groupBy("at", "form", "rank").agg(F.min("label").alias("label"), F.max("label").alias("last"))
         best = ranked.groupBy("at", "form").agg(F.min_by(F.struct("label", "last"), "rank").alias("x"))
         return best.where("x.label = x.last").select("at", "form", "x.label")
