@@ -279,7 +279,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least ``min_length``). Null, empty and short texts share nothing. Ids are integers and unique. Other columns are
     not read. Texts of equal content are compared like any others.
     """
-    anchor_schema = T._parse_datatype_string("id long, at int, fp long")
+    anchor_schema = T._parse_datatype_string("id long, at array<int>, fp array<long>")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,11 +289,15 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total += len(t)
                 if total > SLICE_CHARS or i + 1 == len(texts):
                     text, at, fp = anchors(texts[begin : i + 1], min_length)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[begin : i + 1][text].astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(fp)], names=["id", "at", "fp"])
+                    stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=i + 1 - begin))]), pa.int32())
+                    lists = [pa.ListArray.from_arrays(stops, pa.array(v)) for v in (at.astype(np.int32), fp)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[begin : i + 1].astype(np.int64)), *lists], names=["id", "at", "fp"])
                     begin, total = i + 1, 0
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= min_length)
-    found = materialise(texts.mapInArrow(find, anchor_schema))
+    # kept as one row per text, a third of the size of a row per anchor
+    kept = materialise(texts.mapInArrow(find, anchor_schema))
+    found = kept.select("id", F.inline(F.arrays_zip("at", "fp")))
     several = found.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("fp")
     shared = materialise(found.join(several, "fp", "left_semi"))
     n_texts = shared.agg(F.approx_count_distinct("id")).first()[0]
