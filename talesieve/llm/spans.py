@@ -24,6 +24,8 @@ MIN_LENGTH = 200
 #: Texts with shared anchors per index shard; bounds what a task holds.
 SHARD_TEXTS = 2000
 SLICE_CHARS = 2_000_000
+#: Occurrences of their anchors up to which texts are searched for together; more are searched for in parts.
+OCCURRENCES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -208,6 +210,9 @@ class Shard:
         # one thread per position; all go one symbol to the left at a time
         end = np.flatnonzero(symbols)
         lo, hi = self.fm.before[symbols[end]], self.fm.before[symbols[end] + 1]
+        if int((hi - lo).sum()) > OCCURRENCES and len(queries) > 1:  # as when a shard is full of copies
+            half = len(queries) // 2
+            return self.search(queries[:half]) + self.search(queries[half:])
         place = end.copy()
         while len(end):
             grows = place > begins[of[end]]
