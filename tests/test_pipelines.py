@@ -94,3 +94,12 @@ def test_waves(spark):
     assert [(r.i, r.n_skipped, r.warn) for r in kept.orderBy("i").collect()] == [(2, 6, True), (5, 6, True)]
     c = waves.centroids(spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0])], "label int, embedding array<double>"), "label").first()
     assert c.centroid == [2.0, 3.0] and c.n == 2
+
+
+def test_resampling_keeps_a_tone(spark):
+    wave_of = lambda n: np.sin(2 * np.pi * 3 * np.arange(n) / n)
+    for n in (80, 128, 200, 101):
+        assert np.allclose(waves.fourier_resampled(wave_of(100), n), wave_of(n))
+    df = spark.createDataFrame([(wave_of(100).tolist(), 1.25), ([1.0, 2.0], 1.0), ([1.0], None), (None, 2.0)], "wav array<double>, speed double")
+    got = [r.wav for r in waves.at_speed(df).collect()]
+    assert np.allclose(got[0], wave_of(80)) and got[1:] == [[1.0, 2.0], [1.0], None]
