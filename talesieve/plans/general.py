@@ -16,7 +16,7 @@ from talesieve.streaming.incremental import run_new_files
 MESSAGES = [("Please try again in 12.5s", 12.5, "other"), ("Error 429: try again in 1m30s", 90.0, "rate_limit"), ("rate_limit reached, in 2m", 120.0, "rate_limit"), ("503: retry after 45.2s", 45.2, "503"), ("502 bad gateway", 30.0, "502"), ("Request timed out", 30.0, "timeout"), ("Connection reset", 30.0, "other")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', {s}, '{'connection' if 'onnection' in m else c}')" for m, s, c in MESSAGES) + ") t(message, seconds, error_class)")
+@query("SELECT message, CAST(seconds AS DOUBLE) AS seconds, error_class FROM (VALUES " + ", ".join(f"('{m}', {s}, '{'connection' if 'onnection' in m else c}')" for m, s, c in MESSAGES) + ") t(message, seconds, error_class)")
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(m,) for m, _, _ in MESSAGES], "message string")
     return rows.select("message", X.wait_seconds(F.col("message")).alias("seconds"), X.error_class(F.col("message")).alias("error_class"))
@@ -56,7 +56,7 @@ def clip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("seconds"), 4).alias("seconds"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_sum, min(ts) AS first_ts FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, min(ts) AS first_ts FROM events GROUP BY event_type")
 def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.try_element_at(jsonrepair.object_or_embedded(F.col("props")), F.lit("k")).try_cast("bigint")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.min("ts").alias("first_ts"))

@@ -18,7 +18,7 @@ _TYPES = ", ".join(f"'{t}'" for t in schema.TYPES)
 _TONES = ", ".join(f"'{t}'" for t in schema.TONES)
 _VALID = f"""{SG}, ok AS (
   SELECT novel, chapter_num, seg_id, CASE WHEN "type" IN ({_TYPES}) THEN "type" ELSE 'narration' END AS "type", CASE WHEN tone IN ({_TONES}) THEN tone ELSE 'neutral' END AS tone, text, speaker,
-    row_number() OVER (PARTITION BY novel, chapter_num ORDER BY "index", seg_id) - 1 AS "index"
+    CAST(row_number() OVER (PARTITION BY novel, chapter_num ORDER BY "index", seg_id) - 1 AS INTEGER) AS "index"
   FROM sg WHERE {STRIP.format("coalesce(text, '')")} <> '')"""
 
 
@@ -32,8 +32,8 @@ def segment_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT speaker, "type", tone, len({TOKENS.format("coalesce(text, '')")}) AS n FROM segments)
-SELECT 'speaker' AS dimension, speaker AS value, count(*) AS n_segments, sum(n) AS n_words FROM s GROUP BY speaker
-UNION ALL SELECT 'type', "type", count(*), sum(n) FROM s GROUP BY "type" UNION ALL SELECT 'tone', tone, count(*), sum(n) FROM s GROUP BY tone""")
+SELECT 'speaker' AS dimension, speaker AS value, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_words FROM s GROUP BY speaker
+UNION ALL SELECT 'type', "type", count(*), CAST(sum(n) AS BIGINT) FROM s GROUP BY "type" UNION ALL SELECT 'tone', tone, count(*), CAST(sum(n) AS BIGINT) FROM s GROUP BY tone""")
 def segment_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talesieve.sources.tables import table
 
@@ -41,15 +41,15 @@ def segment_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT novel, chapter_num, speaker, "type", tone, len({TOKENS.format("coalesce(text, '')")}) AS n FROM segments)
-SELECT novel, chapter_num, 'speaker' AS dimension, speaker AS value, count(*) AS n_segments, sum(n) AS n_words FROM s GROUP BY ALL
-UNION ALL SELECT novel, chapter_num, 'type', "type", count(*), sum(n) FROM s GROUP BY ALL UNION ALL SELECT novel, chapter_num, 'tone', tone, count(*), sum(n) FROM s GROUP BY ALL""")
+SELECT novel, chapter_num, 'speaker' AS dimension, speaker AS value, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_words FROM s GROUP BY ALL
+UNION ALL SELECT novel, chapter_num, 'type', "type", count(*), CAST(sum(n) AS BIGINT) FROM s GROUP BY ALL UNION ALL SELECT novel, chapter_num, 'tone', tone, count(*), CAST(sum(n) AS BIGINT) FROM s GROUP BY ALL""")
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talesieve.sources.tables import table
 
     return S.statistics(table(spark, sf_dir, "segments"), KEY)
 
 
-@query("""SELECT novel, chapter_num, count(*) AS n_long, sum(CASE WHEN contains(text, '"') THEN 1 ELSE 0 END) AS n_quoted, min(substring(text, 1, 80)) AS preview
+@query("""SELECT novel, chapter_num, count(*) AS n_long, CAST(sum(CASE WHEN contains(text, '"') THEN 1 ELSE 0 END) AS BIGINT) AS n_quoted, min(substring(text, 1, 80)) AS preview
 FROM segments WHERE length(text) > 200 GROUP BY novel, chapter_num""")
 def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talesieve.sources.tables import table

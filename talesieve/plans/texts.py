@@ -56,7 +56,7 @@ def word_set_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(X.word_set(F.col("text"))).alias("n_distinct"), F.size(X.words(F.col("text"))).alias("n_words"))
 
 
-@query("SELECT source, lang, count(*) AS n_documents, sum(n_chars) AS n_chars, sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n_null, max(n_chars) AS longest FROM documents GROUP BY source, lang")
+@query("SELECT source, lang, count(*) AS n_documents, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, max(n_chars) AS longest FROM documents GROUP BY source, lang")
 def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"), F.sum(F.col("text").isNull().cast("int")).alias("n_null"), F.max("n_chars").alias("longest"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,17 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_talesieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    with tempfile.TemporaryDirectory() as tmp:
+        source = os.path.join(tmp, "source")
+        shutil.copytree(os.path.join(root, "talesieve"), os.path.join(source, "talesieve"), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+        keep = os.path.join(tempfile.mkdtemp(prefix="talesieve-"), "talesieve_package")
+        sc.addPyFile(shutil.make_archive(keep, "zip", source))  # served by the driver from then on
+    sc._talesieve_shipped = True

@@ -48,3 +48,22 @@ def test_entry(spark):
 
 def test_oracles_have_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_workers_get_the_package(tmp_path):
+    """Also if the driver was started elsewhere, with the repository on its own path only."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "c")!r}).getOrCreate()
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["html_main_text"](spark, {DATA!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
