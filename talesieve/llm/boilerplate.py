@@ -59,21 +59,28 @@ def without_repeated_lines(df: DataFrame, id_col: str, source: str, text_col: st
     return rows.select(id_col, F.array_join(kept, "\n").alias(text_col), F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).alias("n_deleted"))
 
 
-def frequent_sequences(df: DataFrame, id_col: str, source: str, text_col: str = "text", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, max_length: int = 4) -> DataFrame:
-    """Frequent sequences of up to ``max_length`` frequent lines that follow one another (other lines may stand
-    between): ``source``, ``pattern array<string>`` of line keys, ``n_rows``. Grown from prefixes: each level extends
-    the patterns of the last one by the next frequent line of their projected rows."""
+def frequent_sequences(df: DataFrame, id_col: str, source: str, text_col: str = "text", min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Frequent sequences of frequent lines, of any length: ``source``, ``pattern array<string>`` of line keys, ``n_rows``
+    (rows that hold the lines in this order; any others, frequent ones too, may stand between). Grown from prefixes: each
+    level extends the patterns of the last one by every frequent line behind their leftmost match, until none is frequent."""
     frequent = materialise(frequent_lines(df, source, text_col, min_rows, min_share))
     rows = _with_found(df, id_col, source, text_col, frequent).where("found is not null")
     keys = F.filter(_keys(F.col(text_col)), lambda k: k.isNotNull() & F.coalesce(F.try_element_at("found", F.coalesce(k, F.lit(""))), F.lit(False)))
-    sequences = materialise(rows.select(id_col, source, keys.alias("keys")).where("size(keys) > 0"))
     sizes = frequent.select(source, "n_all").distinct()
-    level = sequences.select(id_col, source, "keys", F.explode(F.sequence(F.lit(0), F.size("keys") - 1)).alias("at")).select(id_col, source, "keys", "at", F.slice("keys", F.col("at") + 1, 1).alias("pattern"))
     result = frequent.select(source, F.array("key").alias("pattern"), "n_rows")
-    for _ in range(1, max_length):
-        grown = level.where(F.col("at") + 1 < F.size("keys")).select(id_col, source, "keys", (F.col("at") + 1).alias("at"), F.array_append("pattern", F.get("keys", F.col("at") + 1)).alias("pattern"))
-        counts = grown.select(id_col, source, "pattern").distinct().groupBy(source, "pattern").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= min_rows)
+    # a row is here once per pattern that it holds, with what follows the leftmost match
+    level = _grown(materialise(rows.select(source, F.array().cast("array<string>").alias("pattern"), keys.alias("rest"))), source)
+    while True:
+        grown = _grown(level, source)
+        counts = grown.groupBy(source, "pattern").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= min_rows)
         counts = materialise(counts.alias("c").join(sizes.alias("s"), F.col(f"c.{source}").eqNullSafe(F.col(f"s.{source}"))).where(F.col("n_rows") >= min_share * F.col("n_all")).select(F.col(f"c.{source}").alias(source), "pattern", "n_rows"))
+        if counts.isEmpty():
+            return result
         result = result.unionByName(counts)
         level = materialise(grown.alias("g").join(counts.alias("c"), F.col(f"g.{source}").eqNullSafe(F.col(f"c.{source}")) & (F.col("g.pattern") == F.col("c.pattern")), "left_semi"))
-    return result
+
+
+def _grown(level: DataFrame, source: str) -> DataFrame:
+    """The patterns of each row extended by each distinct line of the ``rest`` of its keys."""
+    extended = level.where("size(rest) > 0").select(source, "pattern", "rest", F.explode(F.array_distinct("rest")).alias("key"))
+    return extended.select(source, F.array_append("pattern", F.col("key")).alias("pattern"), F.expr("slice(rest, cast(array_position(rest, key) as int) + 1, size(rest))").alias("rest"))

@@ -1,7 +1,10 @@
 """Names, lists, repeated lines, tokens, containers and shared spans: against brute force, round trips and edge cases."""
 
+import hashlib
+import itertools
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +98,17 @@ def test_repeated_lines(spark):
     assert boilerplate.repeated_lines(df, "id", "site", min_share=0.9).where("id < 9").isEmpty()
 
 
+def test_sequences_with_other_frequent_lines_between(spark):
+    rows = [(i, "s", "a\nb\nc\nd\ne\nf") for i in range(3)] + [(i, "s", "a\nx\nc\na") for i in range(3, 6)] + [(i, None, "a\na") for i in range(6, 9)] + [(9, "s", None)]
+    df = spark.createDataFrame(rows, "id long, site string, text string")
+    key = {hashlib.md5(c.encode()).hexdigest(): c for c in "abcdefx"}
+    got = [(r.site, "".join(key[k] for k in r.pattern), r.n_rows) for r in boilerplate.frequent_sequences(df, "id", "site").collect()]
+    held = [{"".join(c) for n in range(1, 7) for c in itertools.combinations((text or "").replace("\n", ""), n)} for _, _, text in rows]
+    counts = Counter((site, p) for (_, site, _), ps in zip(rows, held) for p in ps)
+    assert sorted(got, key=str) == sorted(((*k, n) for k, n in counts.items() if n >= 3), key=str)
+    assert ("s", "ac", 6) in got and ("s", "abcdef", 3) in got and (None, "aa", 3) in got
+
+
 def test_packing(spark):
     r = random.Random(3)
     rows = [(i, r.choice([1, 3, 7, 12, 30, 64, 65, 200, 0, None]), r.choice(["a", "b", None]), f"c{r.randrange(30)}", 1) for i in range(500)] + [(7, 12, "a", "c1", 1)]
