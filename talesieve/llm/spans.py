@@ -1,11 +1,14 @@
 """Long spans that stand word for word in more than one record.
 
-Each text is reduced to winnowed anchors: of every window of ``min_length`` characters the least hash of its k-grams, so that
-two texts with a common span of that length have an anchor in common within it. Anchors that occur in one text only
-are dropped. What is left of a text, a sequence of anchor symbols, is indexed per shard in a compressed full-text
-(FM) index: the Burrows-Wheeler transform of all the shard's sequences in a wavelet matrix. Texts are streamed
-against the shards that hold a partner; backward search gives the matching statistics of all their positions at once, and
-every maximal interval becomes a candidate that is extended and measured in the stored characters.
+A span of ``min_length`` characters holds a least gram (a third as long) by hash; all records that hold the span have it there. A
+text is cut where the least gram of its windows changes, so that each window of ``min_length`` characters is in exactly
+one piece, and equal windows are in pieces of equal grams. Pieces whose gram stands in one distinct text only are
+dropped: this is all that the hashes decide. The characters of the others are brought together by gram, put into
+compressed FM-indexes of bounded size, and streamed against them: backward search over a wavelet matrix gives, for every
+window, the interval of its occurrences; where that holds another text, the window is shared.
+
+A gram that more characters hang on than an index may hold (a notice in every page) is split by its whole windows,
+which are counted by hash with partial sums. Copies of a whole text are one text until the end.
 """
 
 from __future__ import annotations
@@ -14,373 +17,294 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from talesieve.llm.fmindex import FIRST, FMIndex
 from talesieve.sources.tables import materialise
 
 MIN_LENGTH = 200
-#: Texts with shared anchors per index shard; bounds what a task holds.
-SHARD_TEXTS = 2000
-SLICE_CHARS = 2_000_000
-#: Occurrences of their anchors up to which texts are searched for together; more are searched for in parts.
-OCCURRENCES = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Characters of an index; bounds what a task holds. Grams with more characters are split by their windows.
+INDEX_CHARS = 1 << 20
+#: Characters of which grams are hashed at a time, and windows of a piece: longer ones are cut, which loses no window.
+SLICE_CHARS, PIECE_WINDOWS = 2_000_000, 256
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def gram_length(min_length: int) -> int:
     return max(1, min_length // 3)
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, SLICE_CHARS + 1) - 1, b, np.uint64))]) for b in (_BASE, _INVERSE)]
-    return _powers
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def anchors(texts: list[str], min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position and hash of the anchors of all texts."""
-    k = gram_length(min_length)
-    w = min_length - k + 1
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def gram_hashes(codes: np.ndarray, k: int, base: int = _BASES[0]) -> np.ndarray:
+    """A mixed polynomial hash of all grams of ``k`` characters."""
     n = len(codes)
-    if n < min_length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _power_tables(n + 1)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    if base not in _powers or len(_powers[base][0]) <= n:
+        size = max(n, SLICE_CHARS) + 1
+        _powers[base] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64))))
+    up, down = _powers[base]
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint64(0)], np.cumsum((codes + np.uint64(1)) * up[:n])])
         h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    begins = np.cumsum(sizes) - sizes
-    # least value of each window, by blocks of the window's length
-    m = len(h)
-    padded = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:m] = h
+        return h ^ h >> np.uint64(32)
+
+
+def least_of_windows(values: np.ndarray, w: int) -> np.ndarray:
+    """Least value of each run of ``w`` values, by blocks of that length."""
+    m = len(values)
+    padded = np.full(-(-m // w) * w, np.iinfo(values.dtype).max, values.dtype)
+    padded[:m] = values
     blocks = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, 1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     starts = np.arange(m - w + 1)
-    least = np.minimum(behind[starts], ahead[starts + w - 1])
-    left_over = np.repeat(begins + sizes, sizes)[: m - w + 1] - starts
-    inside = left_over >= min_length
-    starts, least = starts[inside], least[inside]
-    # first place of that value in its window: walk from the last place that had it
-    hit = np.zeros(m, bool)
-    new = np.ones(len(starts), bool)
-    new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
-    at = starts[new]
-    value = least[new]
-    todo = np.arange(len(at))
-    step = np.zeros(len(at), np.int64)
-    while len(todo):
-        here = h[at[todo] + step[todo]] == value[todo]
-        hit[at[todo[here]] + step[todo[here]]] = True
-        todo = todo[~here]
-        step[todo] += 1
-    # within windows of one least value, its place may be left behind: the next equal one takes over
-    run = np.cumsum(new) - 1
-    first = (at + step)[run]
-    late = starts > first
-    if late.any():
-        equal = np.flatnonzero(np.isin(h, value))
-        order = np.lexsort((equal, h[equal]))
-        sorted_places, sorted_hashes = equal[order], h[equal][order]
-        group = {v: (a, b) for v, a, b in zip(*_runs(sorted_hashes))}
-        for s, v in zip(starts[late].tolist(), least[late].tolist()):
-            a, b = group[v]
-            hit[sorted_places[a + np.searchsorted(sorted_places[a:b], s)]] = True
-    places = np.flatnonzero(hit)
-    text = np.searchsorted(begins + sizes, places, "right")
-    # of neighbours with the same gram, as in a run of one character, the first and the last say it all
-    same_before = np.zeros(len(places), bool)
-    same_before[1:] = (places[1:] == places[:-1] + 1) & (h[places[1:]] == h[places[:-1]])
-    same_after = np.zeros(len(places), bool)
-    same_after[:-1] = same_before[1:]
-    keep = ~(same_before & same_after)
-    places, text = places[keep], text[keep]
-    return text, places - begins[text], h[places].astype(np.int64)
-
-
-def _runs(values: np.ndarray) -> tuple[list, list, list]:
-    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(values)]
-
-
-class WaveletMatrix:
-    """Ranks of symbols in a sequence of small integers: one bit vector per level, with counts of ones per position."""
-
-    def __init__(self, values: np.ndarray, sigma: int) -> None:
-        self.levels = max(1, int(sigma - 1).bit_length())
-        self.ones, self.zeros = [], []
-        v = values.astype(np.int64)
-        for level in reversed(range(self.levels)):
-            bit = (v >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32))
-            self.zeros.append(int(len(v) - bit.sum()))
-            v = np.concatenate([v[bit == 0], v[bit == 1]])
-
-    def rank(self, symbol: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Occurrences of each symbol before each position."""
-        begin = np.zeros(len(stop), np.int64)
-        stop = stop.astype(np.int64)
-        for d, level in enumerate(reversed(range(self.levels))):
-            one = ((symbol >> level) & 1).astype(bool)
-            b, s = self.ones[d][begin].astype(np.int64), self.ones[d][stop].astype(np.int64)
-            begin = np.where(one, self.zeros[d] + b, begin - b)
-            stop = np.where(one, self.zeros[d] + s, stop - s)
-        return stop - begin
-
-
-class FMIndex:
-    """Of several sequences of symbols 1..sigma-1, each with symbol 0 behind it."""
-
-    def __init__(self, symbols: np.ndarray, sigma: int) -> None:
-        self.text, n = symbols, len(symbols)
-        rank, width = symbols.astype(np.int64), 1
-        while True:  # prefix doubling; sequences end in a 0 that ties are told apart by
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - width] = rank[width:] + 1 if width < n else 0
-            key = rank * (int(max(rank.max(), n)) + 2) + nxt
-            self.suffixes = np.argsort(key, kind="stable")
-            s = key[self.suffixes]
-            fresh = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            rank = np.empty(n, np.int64)
-            rank[self.suffixes] = fresh
-            width *= 2
-            if fresh[-1] == n - 1 or width >= 2 * n:
-                break
-        self.wavelet = WaveletMatrix(symbols[self.suffixes - 1], sigma)
-        counts = np.bincount(symbols, minlength=sigma)
-        self.before = np.concatenate([[0], np.cumsum(counts)])
-
-    def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search: the intervals with ``symbol`` put before them."""
-        base = self.before[symbol]
-        return base + self.wavelet.rank(symbol, lo), base + self.wavelet.rank(symbol, hi)
-
-
-def common_extent(a: str, i: int, b: str, j: int) -> tuple[int, int]:
-    """How far a[:i] and b[:j] agree backwards, and a[i:] and b[j:] forwards."""
-
-    def forwards(x: str, y: str) -> int:
-        n = min(len(x), len(y))
-        if x[:n] == y[:n]:
-            return n
-        lo, hi = 0, n
-        while lo + 1 < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid)
-        return lo
-
-    return forwards(a[:i][::-1], b[:j][::-1]), forwards(a[i:], b[j:])
-
-
-class Shard:
-    """The index of one shard: texts with their anchors and the stretches around them."""
-
-    def __init__(self, rows: list[dict], min_length: int) -> None:
-        self.rows, self.min_length = rows, min_length
-        hashes = np.concatenate([np.asarray(r["fps"], np.int64) for r in rows])
-        self.alphabet = np.unique(hashes)
-        sizes = np.fromiter((len(r["fps"]) for r in rows), np.int64, len(rows))
-        self.begins = np.cumsum(sizes + 1) - sizes - 1
-        symbols = np.zeros(int((sizes + 1).sum()), np.int64)
-        fill = np.ones(len(symbols), bool)
-        fill[self.begins + sizes] = False
-        symbols[fill] = np.searchsorted(self.alphabet, hashes) + 1
-        self.fm = FMIndex(symbols, len(self.alphabet) + 1)
-
-    def search(self, queries: list[dict]) -> list[tuple]:
-        """Maximal common spans with the indexed texts of greater id: doc_a, doc_b, start_a, start_b, length."""
-        found: list[tuple] = []
-        sizes = np.fromiter((len(q["fps"]) for q in queries), np.int64, len(queries))
-        hashes = np.concatenate([np.asarray(q["fps"], np.int64) for q in queries])
-        at = np.searchsorted(self.alphabet, hashes)
-        at[at == len(self.alphabet)] = 0
-        symbols = np.where(self.alphabet[at] == hashes, at + 1, 0)
-        begins = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(len(queries)), sizes)
-        # one thread per position; all go one symbol to the left at a time
-        end = np.flatnonzero(symbols)
-        lo, hi = self.fm.before[symbols[end]], self.fm.before[symbols[end] + 1]
-        if int((hi - lo).sum()) > OCCURRENCES and len(queries) > 1:  # as when a shard is full of copies
-            half = len(queries) // 2
-            return self.search(queries[:half]) + self.search(queries[half:])
-        place = end.copy()
-        while len(end):
-            grows = place > begins[of[end]]
-            left = np.where(grows, symbols[np.maximum(place - 1, 0)], 0)
-            grows &= left > 0
-            new_lo, new_hi = lo.copy(), lo.copy()
-            if grows.any():
-                new_lo[grows], new_hi[grows] = self.fm.extend(left[grows], lo[grows], hi[grows])
-            shrinks = np.flatnonzero(new_hi - new_lo < hi - lo)
-            self._report(queries, symbols, begins, sizes, of, end[shrinks], place[shrinks], lo[shrinks], hi[shrinks], left[shrinks] * grows[shrinks], found)
-            alive = new_hi > new_lo
-            end, place, lo, hi = end[alive], place[alive] - 1, new_lo[alive], new_hi[alive]
-        return found
+    return np.minimum(behind[starts], ahead[starts + w - 1])
 
-    def _report(self, queries, symbols, begins, sizes, of, end, place, lo, hi, left, found) -> None:
-        """Occurrences that can go neither further left nor right become candidates."""
-        if not len(end):
-            return
-        n = hi - lo
-        thread = np.repeat(np.arange(len(end)), n)
-        suffix = self.fm.suffixes[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        before = np.where(suffix > 0, self.fm.text[suffix - 1], 0)
-        behind = suffix + (end - place)[thread] + 1
-        right = np.where(end + 1 < begins[of[end]] + sizes[of[end]], symbols[np.minimum(end + 1, len(symbols) - 1)], 0)[thread]
-        row = np.searchsorted(self.begins, suffix, "right") - 1
-        ids = np.fromiter((r["id"] for r in self.rows), np.int64, len(self.rows))
-        asked = np.fromiter((q["id"] for q in queries), np.int64, len(queries))[of[end[thread]]]
-        ok = ((before != left[thread]) | (before == 0)) & ((self.fm.text[behind] != right) | (right == 0)) & (ids[row] > asked)
-        for t, s, r in zip(thread[ok].tolist(), suffix[ok].tolist(), row[ok].tolist()):
-            q = queries[of[end[t]]]
-            self._measure(q, int(place[t] - begins[of[end[t]]]), self.rows[r], int(s - self.begins[r]), int(end[t] - place[t]) + 1, found)
-
-    def _measure(self, a: dict, i: int, b: dict, j: int, n: int, found: list[tuple]) -> None:
-        """Spans in the stored characters around a run of ``n`` common anchors."""
-        covered = -1
-        for x in range(n):
-            pa_, pb_ = a["at"][i + x], b["at"][j + x]
-            if pa_ < covered:
-                continue
-            (ta, oa), (tb, ob) = _stretch(a, pa_), _stretch(b, pb_)
-            back, ahead = common_extent(ta, pa_ - oa, tb, pb_ - ob)
-            covered = pa_ + ahead
-            if back + ahead >= self.min_length:
-                found.append((a["id"], b["id"], pa_ - back, pb_ - back, back + ahead))
-
-
-def _stretch(row: dict, place: int) -> tuple[str, int]:
-    starts = row["starts"]
-    k = int(np.searchsorted(starts, place, "right")) - 1
-    return row["stretches"][k], starts[k]
-
-
-def stretches(text: str, at: list[int], min_length: int) -> tuple[list[int], list[str]]:
-    """The parts of a text that a span around one of the anchors can reach, as far as anchors follow one another."""
-    starts, ends = [], []
-    for p in at:
-        a, b = max(0, p - min_length), min(len(text), p + min_length)
-        if starts and a <= ends[-1]:
-            ends[-1] = b
-        else:
-            starts.append(a)
-            ends.append(b)
-    return starts, [text[a:b] for a, b in zip(starts, ends)]
-
-
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """``doc_a, doc_b, start_a, start_b, length``: maximal common spans of at least ``min_length`` characters of texts
-    ``doc_a < doc_b``. A span cut by a stretch's end is reported as far as the stretch goes (its length is then at
-    least ``min_length``). Null, empty and short texts share nothing. Ids are integers and unique. Other columns are
-    not read. Texts of equal content are compared like any others.
-    """
-    anchor_schema = T._parse_datatype_string("id long, at array<int>, fp array<long>")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(1).to_pylist()]
-            begin, total = 0, 0
-            for i, t in enumerate(texts):
-                total += len(t)
-                if total > SLICE_CHARS or i + 1 == len(texts):
-                    text, at, fp = anchors(texts[begin : i + 1], min_length)
-                    stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=i + 1 - begin))]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(stops, pa.array(v)) for v in (at.astype(np.int32), fp)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[begin : i + 1].astype(np.int64)), *lists], names=["id", "at", "fp"])
-                    begin, total = i + 1, 0
-
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= min_length)
-    # kept as one row per text, a third of the size of a row per anchor
-    kept = materialise(texts.mapInArrow(find, anchor_schema))
-    found = kept.select("id", F.inline(F.arrays_zip("at", "fp")))
-    several = found.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("fp")
-    shared = materialise(found.join(several, "fp", "left_semi"))
-    n_texts = shared.agg(F.approx_count_distinct("id")).first()[0]
-    shards = max(1, -(-n_texts // shard_texts))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    # where the partners of a text are: of each anchor the shards that hold a text with a greater id
-    held = shared.select("fp", shard.alias("shard"), "id").groupBy("fp", "shard").agg(F.max("id").alias("top"))
-    targets = shared.select("id", "fp").distinct().join(held, "fp").where("top > id").select("id", "shard").distinct().groupBy("id").agg(F.collect_list("shard").alias("targets"))
-    sequences = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "fp"))).alias("anchors"))
-    plan = sequences.join(targets, "id", "left").select("id", "anchors", F.coalesce("targets", F.array().cast("array<int>")).alias("targets"))
-
-    row_schema = T._parse_datatype_string("shard int, asks boolean, id long, at array<int>, fps array<long>, starts array<int>, stretches array<string>")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(row_schema)
-        for batch in batches:
-            rows = []
-            for rid, text, own, seq, targets_ in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                at, fps = [x["at"] for x in seq], [x["fp"] for x in seq]
-                starts, parts = stretches(text, at, min_length)
-                rows += [(own, False, rid, at, fps, starts, parts), *((s, True, rid, at, fps, starts, parts) for s in targets_)]
-                if len(rows) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
-                    rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
-    routed = texts.join(plan, "id").select("id", "text", shard.alias("own"), "anchors", "targets").mapInArrow(cut, row_schema)
-    ordered = routed.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "asks")
-    span_schema = T._parse_datatype_string("doc_a long, doc_b long, start_a int, start_b int, length int")
+def pieces(texts: list[str], min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start, number of windows and least gram of the pieces of all texts, in order."""
+    k = gram_length(min_length)
+    parts: list[list[np.ndarray]] = []
+    block: list[tuple[int, int, str]] = []
+    held = 0
+
+    def close() -> None:
+        nonlocal held
+        sizes = np.fromiter((len(t) for _, _, t in block), np.int64, len(block))
+        codes = _codes("".join(t for _, _, t in block))
+        if len(codes) >= min_length:
+            least = least_of_windows(gram_hashes(codes, k), min_length - k + 1)
+            ends = np.cumsum(sizes)
+            number = np.repeat(np.arange(len(block)), sizes)[: len(least)]
+            inside = np.flatnonzero(ends[number] - np.arange(len(least)) >= min_length)
+            number, least = number[inside], least[inside]
+            new = np.ones(len(inside), bool)
+            new[1:] = (least[1:] != least[:-1]) | (number[1:] != number[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(inside)))
+            if len(count) and count.max() > PIECE_WINDOWS:
+                times = -(-count // PIECE_WINDOWS)
+                step = (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)) * PIECE_WINDOWS
+                first, count = np.repeat(first, times) + step, np.minimum(PIECE_WINDOWS, np.repeat(count, times) - step)
+            of = number[first]
+            own = np.fromiter((i for i, _, _ in block), np.int64, len(block))[of]
+            offset = np.fromiter((o for _, o, _ in block), np.int64, len(block))[of]
+            parts.append([own, inside[first] - (ends - sizes)[of] + offset, count, least[first].view(np.int64)])
+        block.clear()
+        held = 0
+
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - min_length + 1), SLICE_CHARS):
+            part = text if len(text) <= SLICE_CHARS else text[at : at + SLICE_CHARS + min_length - 1]
+            if len(part) >= min_length:
+                block.append((i, at, part))
+                held += len(part)
+            if held >= SLICE_CHARS:
+                close()
+    close()
+    return tuple(np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
+
+
+def _flagged_runs(thread: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Thread, first and last place of runs of neighbouring places."""
+    order = np.lexsort((place, thread))
+    thread, place = thread[order], place[order]
+    new = np.ones(len(thread), bool)
+    new[1:] = (thread[1:] != thread[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    return thread[first], place[first], place[np.append(first[1:], len(thread)) - 1] if len(first) else place[:0]
+
+
+def search(rows: list[tuple[int, int, int, str]], min_length: int, groups: bool) -> list[tuple]:
+    """Of pieces ``(gram, id, start, text)``: with ``groups`` the windows that several ids hold as ``(gram, number, id)``, none of which
+    follows from the window before it; else ``(id, start, stop)`` of the stretches that stand under another id too."""
+    owners: dict[str, list[tuple[int, int, int]]] = {}
+    for gram, i, start, text in rows:
+        owners.setdefault(text, []).append((gram, i, start))
+    texts, held = list(owners), list(owners.values())
+    ids: dict[int, int] = {}
+    several = np.fromiter((len({i for _, i, _ in own}) > 1 for own in held), bool, len(held))
+    labels = np.fromiter((-1 - n if many else ids.setdefault(own[0][1], len(ids)) for n, (own, many) in enumerate(zip(held, several))), np.int64, len(held))
+    index = FMIndex(texts, min_length)
+    index.label(labels, several)
+    thread, place, lo, hi = index.matched(texts)
+    hit = index.shared(lo, hi)
+    thread, place, lo, hi = thread[hit], place[hit], lo[hit], hi[hit]
+    if not groups:
+        return [(i, start + a, start + b + min_length) for t, a, b in zip(*(x.tolist() for x in _flagged_runs(thread, place))) for _, i, start in held[t]]
+    _, once = np.unique(lo, return_index=True)
+    lo, hi = lo[once], hi[once]
+    # all of them go on to the left with one symbol: the window before this one says as much
+    before, _ = index.wavelet.previous(lo)
+    fresh = ~index.changes.none_between(lo + 1, hi) | (before < FIRST)
+    lo, hi = lo[fresh], hi[fresh]
+    n = hi - lo
+    number = np.repeat(lo, n)
+    text, _ = index.located(number + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    return list({(own[0], k, own[1]): None for t, k in zip(text.tolist(), number.tolist()) for own in held[t]})
+
+
+def _same_text(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+class SharedSpans:
+    """The texts of ``df`` reduced to pieces; what is shared is told as intervals or as groups.
+
+    Null, empty and short texts share nothing. Ids are integers and unique. Other columns are not read. Copies of a text are
+    members of one class, ``rep`` being their least id; only representatives are searched.
+    """
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, index_chars: int = INDEX_CHARS) -> None:
+        self.min_length = min_length
+        self.texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= min_length)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number, start, windows, gram = pieces(batch.column(3).to_pylist(), min_length)
+                stops = pa.array(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=batch.num_rows))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(stops, pa.array(v)) for v in (start.astype(np.int32), windows.astype(np.int32), gram)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["id", "h1", "h2", "starts", "windows", "grams"])
+
+        # one row per text, a fraction of the text's size
+        self.kept = materialise(self.texts.select("id", *_same_text(F.col("text")), "text").mapInArrow(find, "id long, h1 long, h2 long, starts array<int>, windows array<int>, grams array<long>"))
+        self.classes = self.kept.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+        distinct = self.kept.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi")
+        found = distinct.select("id", F.inline(F.arrays_zip(F.col("starts").alias("start"), F.col("windows").alias("windows"), F.col("grams").alias("gram"))))
+        chars = F.sum((F.col("windows") + F.lit(min_length - 1)).cast("long"))
+        wide = materialise(found.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), chars.alias("chars")).where("lo != hi").select("gram", (F.col("chars") > index_chars).alias("split")))
+        self.split = not wide.where("split").isEmpty()
+        places = found.join(wide, "gram").groupBy("id").agg(F.collect_list(F.struct("start", "windows", "gram", "split")).alias("pieces"))
+        self.placed = self.texts.join(places, "id")
+        if self.split:  # read twice
+            self.placed = materialise(self.placed)
+        self.index_chars = index_chars
+
+    def _cut(self) -> DataFrame:
+        """``gram, id, start, text`` of the pieces to be searched by index."""
+        min_length = self.min_length
+        schema = T._parse_datatype_string("gram long, id long, start int, text string")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = to_arrow_schema(schema)
+            for batch in batches:
+                for rid, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows = [(p["gram"], rid, p["start"], text[p["start"] : p["start"] + p["windows"] + min_length - 1]) for p in at if not p["split"]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
-        out = to_arrow_schema(span_schema)
-        current, rows, index = None, [], None
-        for batch in batches:
-            queries: list[dict] = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
+        return self.placed.mapInArrow(run, schema)
+
+    def _windows(self) -> DataFrame:
+        """``gram, w1, w2, id, start, before`` of all windows of the grams that are split; ``before`` is the code point in front of a
+        window of the same piece, else -1."""
+        min_length = self.min_length
+        schema = T._parse_datatype_string("gram long, w1 long, w2 long, id long, start int, before int")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = to_arrow_schema(schema)
+            for batch in batches:
+                for rid, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                    for p in at:
+                        if p["split"]:
+                            n, a = p["windows"], p["start"]
+                            codes = _codes(text[a : a + n + min_length - 1])
+                            hashes = [gram_hashes(codes, min_length, b).view(np.int64) for b in _BASES]
+                            before = np.concatenate([[-1], codes[: n - 1].astype(np.int32)])
+                            columns = [np.full(n, p["gram"]), *hashes, np.full(n, rid), np.arange(a, a + n), before]
+                            yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, out)], schema=out)
+
+        return self.placed.where(F.exists("pieces", lambda p: p["split"])).mapInArrow(run, schema)
+
+    def _searched(self, groups: bool) -> DataFrame:
+        min_length, most = self.min_length, self.index_chars
+        schema = T._parse_datatype_string("g1 long, g2 long, id long" if groups else "id long, a int, b int")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = to_arrow_schema(schema)
+            rows: list[tuple[int, int, int, str]] = []
+            size, last = 0, None
 
             def answer() -> pa.RecordBatch:
-                nonlocal index
-                index = index or Shard(rows, min_length)
-                spans = index.search(queries)
-                queries.clear()
-                return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], f.type) for i, f in enumerate(out)], schema=out)
-
-            for shard_, asks_, rid, at, fps, starts, parts in zip(*columns):
-                if shard_ != current:
-                    if queries:
+                nonlocal size
+                found = search(rows, min_length, groups)
+                rows.clear()
+                size = 0
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(out)], schema=out)
+
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[0] != last and size >= most:  # a gram's pieces stay together
                         yield answer()
-                    current, rows, index = shard_, [], None
-                row = {"id": rid, "at": at, "fps": fps, "starts": starts, "stretches": parts}
-                if not asks_:
+                    last = row[0]
                     rows.append(row)
-                else:
-                    queries.append(row)
-            if queries:
+                    size += len(row[3])
+            if rows:
                 yield answer()
 
-    return ordered.mapInArrow(match, span_schema).distinct()
+        return self._cut().repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
+
+    def groups(self) -> DataFrame:
+        """``g1, g2, id``: groups of two or more representatives that hold a window in common. Any two that do are in one; windows
+        that say no more than the ones before them make no group."""
+        found = self._searched(True)
+        if self.split:
+            rows = self._windows()
+            told = rows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("before").alias("x"), F.max("before").alias("y")).where("lo != hi and (x != y or x < 0)").select("w1", "w2")
+            found = found.unionByName(rows.join(told, ["w1", "w2"]).select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "id").distinct())
+        return found
+
+    def intervals(self) -> DataFrame:
+        """``id, a, b``: stretches of representatives that stand in another text too. They may overlap or touch."""
+        found = self._searched(False)
+        if self.split:
+            rows = self._windows()
+            told = rows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("w1", "w2")
+            found = found.unionByName(rows.join(told, ["w1", "w2"]).select("id", F.col("start").alias("a"), (F.col("start") + self.min_length).alias("b")))
+        return found
+
+    def members(self) -> DataFrame:
+        """``id, rep, n_copies`` of every text of at least ``min_length`` characters."""
+        return self.kept.select("id", "h1", "h2").join(self.classes, ["h1", "h2"]).select("id", "rep", "n_copies")
+
+
+def shared_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``rep_a < rep_b`` of class representatives with a common span, and ``id, rep, n_copies``, the classes of equal texts."""
+    spans = SharedSpans(df, id_col, text_col, min_length)
+    g = spans.groups()
+    pairs = g.alias("p").join(g.alias("q"), (F.col("p.g1") == F.col("q.g1")) & (F.col("p.g2") == F.col("q.g2")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("rep_a"), F.col("q.id").alias("rep_b")).distinct()
+    return pairs, spans.members()
 
 
 def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
-    """``doc_a < doc_b`` of texts with at least one common span of ``min_length`` characters; see ``shared_spans``."""
-    return shared_spans(df, id_col, text_col, min_length).select("doc_a", "doc_b").distinct()
+    """``doc_a < doc_b`` of all texts with at least one common span of ``min_length`` characters: the pairs of representatives given
+    to their copies, and the copies of a text among themselves."""
+    pairs, members = shared_classes(df, id_col, text_col, min_length)
+    copied = members.where("n_copies > 1")
+    a, b = copied.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), copied.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"))
+    given = pairs.join(a, "rep_a", "left").join(b, "rep_b", "left").select(F.coalesce("a", "rep_a").alias("a"), F.coalesce("b", "rep_b").alias("b"))
+    among = a.join(b, F.col("rep_a") == F.col("rep_b")).where("a < b").select("a", "b")
+    return given.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).unionByName(among.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
 
 
 def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
-    """One row per row of ``df``: ``id_col``, ``n_chars`` (0 for null), ``n_shared`` (characters within a span that stands in
-    another text too) and ``share`` (0 for empty and null texts)."""
-    spans = shared_spans(df, id_col, text_col, min_length)
-    sides = spans.select(F.col("doc_a").alias("id"), F.col("start_a").alias("a"), (F.col("start_a") + F.col("length")).alias("b")).unionByName(spans.select(F.col("doc_b").alias("id"), F.col("start_b").alias("a"), (F.col("start_b") + F.col("length")).alias("b"))).distinct()
+    """One row per row of ``df``: ``id_col``, ``n_chars`` (0 for null), ``n_shared`` (characters within a span of ``min_length`` that stands in
+    another text too) and ``share`` (0 for empty and null texts). No pairs are made."""
+    spans = SharedSpans(df, id_col, text_col, min_length)
     # union of the intervals: what each one adds beyond the furthest end before it
-    from pyspark.sql import Window
-
     w = Window.partitionBy("id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    added = sides.withColumn("reach", F.coalesce(F.max("b").over(w), F.lit(0))).groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "reach"))).alias("n_shared"))
-    sizes = df.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"))
-    return sizes.join(added, "id", "left").select(F.col("id").alias(id_col), "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce(F.round(F.col("n_shared") / F.when(F.col("n_chars") > 0, F.col("n_chars")), 6), F.lit(0.0)).alias("share"))
+    reached = spans.intervals().withColumn("reach", F.coalesce(F.max("b").over(w), F.lit(0)))
+    added = reached.groupBy(F.col("id").alias("rep")).agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "reach")).cast("long")).alias("n_shared"))
+    held = spans.members().join(added, "rep", "left").select("id", "n_copies", "n_shared")
+    sizes = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"))
+    n_shared = F.when(F.col("n_copies") > 1, F.col("n_chars").cast("long")).otherwise(F.coalesce("n_shared", F.lit(0).cast("long")))
+    return sizes.join(held, "id", "left").select(F.col("id").alias(id_col), "n_chars", n_shared.alias("n_shared")).withColumn("share", F.coalesce(F.round(F.col("n_shared") / F.when(F.col("n_chars") > 0, F.col("n_chars")), 6), F.lit(0.0)))
