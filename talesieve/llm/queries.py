@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, packing, sentences, spans
 from talesieve.llm.arrowrun import records
-from talesieve.sources.tables import table
+from talesieve.sources.tables import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,7 +64,7 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boilerplate.frequent_sequences(table(spark, sf_dir, "chapters"), "chapter_id", "site")
+    found = boilerplate.frequent_sequences(table(spark, sf_dir, "chapters"), "site")
     return found.select("site", F.array_join("pattern", " ").alias("pattern"), "n_rows")
 
 
@@ -82,6 +82,17 @@ WITH line AS (
 ORACLES["p5_found"] = _P5_LINES + "SELECT k.chapter_id, CAST(k.line_no AS INTEGER) AS line_no FROM keyed k JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k WHERE k.filled"
 
 
+ORACLES["p5_sequences"] = (
+    _P5_LINES.replace("WITH line", "WITH RECURSIVE line")
+    + """, sizes AS (SELECT site, count(*) AS n_all FROM chapters GROUP BY site),
+seq AS (SELECT k.chapter_id, k.site, k.line_no, md5(k.k) AS k, n_all FROM keyed k JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k JOIN sizes s ON k.site IS NOT DISTINCT FROM s.site WHERE k.filled),
+held AS (SELECT chapter_id, site, n_all, k AS pattern, min(line_no) AS pos FROM seq GROUP BY ALL UNION ALL
+  SELECT chapter_id, site, n_all, pattern, pos FROM (SELECT *, count(*) OVER (PARTITION BY site, pattern) AS n FROM (
+    SELECT h.chapter_id, h.site, h.n_all, h.pattern || ' ' || s.k AS pattern, min(s.line_no) AS pos FROM held h JOIN seq s ON s.chapter_id = h.chapter_id AND s.line_no > h.pos GROUP BY ALL)) WHERE n >= 3 AND n >= 0.03 * n_all)
+SELECT site, pattern, count(*) AS n_rows FROM held GROUP BY site, pattern"""
+)
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"tone": table(spark, sf_dir, "tone_profiles"), "type": table(spark, sf_dir, "segment_types")}
 
@@ -154,11 +165,29 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are."""
-    held = p9_containers(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("length").alias("held"), F.max("clash").alias("clash"))
-    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.ceil(F.sum("held") / packing.CAPACITY).alias("least_containers"), F.round(F.sum("held") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("used"), F.sum(F.col("clash").cast("int")).alias("n_clashing"))
+    """How full the containers are, beside the least number that could hold as much."""
+    held = p9_containers(spark, sf_dir).where("container is not null").groupBy("container").agg(F.sum("length").alias("held"), F.max("beside").alias("mixed"))
+    return held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.ceil(F.sum("held") / packing.CAPACITY).alias("least_containers"), F.round(F.sum("held") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("used"), F.sum(F.col("mixed").cast("int")).alias("n_same_source"))
+
+
+@query
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the layout: documents laid out, those without room, and the cases of each rule that is broken."""
+    laid = materialise(p9_containers(spark, sf_dir))
+    sizes = bpe.token_lengths(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = laid.groupBy("doc_id").agg(F.sum("length").alias("held"), F.count(F.lit(1)).alias("n_pieces"), F.count("container").alias("n_placed"))
+    parts = [sizes.join(of, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n_placed") == 0).alias("n_without_room"), F.count_if(~F.col("held").eqNullSafe(F.col("n_tokens").cast("long"))).alias("n_not_covered"),
+        F.count_if((F.col("n_pieces") > 1) & (F.col("n_tokens") <= packing.CAPACITY)).alias("n_split_short"))]
+    parts.append(laid.where("container is not null").groupBy("container").agg(F.sum("length").alias("held")).agg(F.count_if(F.col("held") > packing.CAPACITY).alias("n_overfull")))
+    clusters = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("cluster"))
+    parts.append(laid.where("container is not null").select("container", "doc_id").distinct().join(clusters, "doc_id").groupBy("container", "cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_copies_together")))
+    rows = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
 
 
+ORACLES["p9_checks"] = """SELECT count(*) AS n_documents, count(*) FILTER (coalesce(text, '') = '') AS n_without_room, CAST(0 AS BIGINT) AS n_not_covered, CAST(0 AS BIGINT) AS n_split_short,
+CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_copies_together FROM documents"""
 ORACLES["p5_clean"] = (
     _P5_LINES
     + """, kept AS (SELECT k.chapter_id, k.line_no, k.line, k.filled AND f.k IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.site IS NOT DISTINCT FROM f.site AND k.k = f.k AND k.filled),
