@@ -110,7 +110,7 @@ def proposals(tagged: str) -> list[str]:
 
 
 def fold(text: str) -> str:
-    """What two texts must have in common to look the same."""
+    """A comparison form, coarser than the canonical one: every look-alike becomes the Latin letter, whatever the word."""
     if not _foreign(text):
         return text
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(FOLD))
@@ -129,7 +129,7 @@ def _pass_schema(ids: list[T.StructField]) -> T.StructType:
 
 
 def canonical_forms(df: DataFrame, ids: list[str], text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """One row per row with a text: ``ids``, ``key`` (equal for texts that look the same), ``raw`` (equal for the same
+    """One row per row with a text: ``ids``, ``key`` (equal for texts of the same canonical form), ``raw`` (equal for the same
     characters), ``canonical`` (the one form; null without ``keep_text``) and ``repaired int`` (tokens replaced).
 
     ``ids`` must name one row together with nothing else. Null texts give no row; blank texts have the canonical form
@@ -148,7 +148,7 @@ def canonical_forms(df: DataFrame, ids: list[str], text_col: str = "text", keep_
             vocabulary.update(_token.findall(s))
             for c in ids:
                 out[c].append(cols[c][i])
-            out["key"].append(digest(fold(s)))
+            out["key"].append(digest(s))
             out["raw"].append(digest(text))
             out["canonical"].append(s if keep_text or odd else None)
             out["tokens"].append(odd or None)
@@ -181,7 +181,7 @@ def canonical_forms(df: DataFrame, ids: list[str], text_col: str = "text", keep_
     def mend(cols: dict[str, list]) -> dict[str, list]:
         out = {c: cols[c] for c in [*ids, "raw"]}
         done = [repair(s, {f["token"]: f["word"] for f in found or []}) for s, found in zip(cols["canonical"], cols["found"])]
-        return out | {"canonical": done if keep_text else [None] * len(done), "key": [digest(fold(s)) for s in done], "repaired": [len(f or []) for f in cols["found"]]}
+        return out | {"canonical": done if keep_text else [None] * len(done), "key": [digest(s) for s in done], "repaired": [len(f or []) for f in cols["found"]]}
 
     mended = map_columns(odd.drop("tokens", "words").join(per_text, [*ids], "left"), fixed_schema, mend, "canonical")
     plain = texts.where("tokens is null").select(*ids, "key", "raw", "canonical", F.lit(0).alias("repaired"))
