@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -14,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; where none is set, a local folder, in local mode only."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "talesieve-checkpoints"))
 
 
@@ -39,6 +42,7 @@ def ship_package(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as tmp:
         source = os.path.join(tmp, "source")
         shutil.copytree(os.path.join(root, "talesieve"), os.path.join(source, "talesieve"), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-        keep = os.path.join(tempfile.mkdtemp(prefix="talesieve-"), "talesieve_package")
-        sc.addPyFile(shutil.make_archive(keep, "zip", source))  # served by the driver from then on
+        keep = tempfile.mkdtemp(prefix="talesieve-")
+        atexit.register(shutil.rmtree, keep, True)
+        sc.addPyFile(shutil.make_archive(os.path.join(keep, "talesieve_package"), "zip", source))  # served by the driver from then on
     sc._talesieve_shipped = True
