@@ -145,7 +145,7 @@ def canonical_forms(df: DataFrame, ids: list[str], text_col: str = "text", keep_
                 continue
             s = compose(text)
             odd = suspicious_tokens(s)
-            vocabulary.update(_token.findall(s))
+            vocabulary.update(_token.findall(s) if not odd else set(_token.findall(s)).difference(t.split(":", 1)[1] for t in odd))
             for c in ids:
                 out[c].append(cols[c][i])
             out["key"].append(digest(s))
