@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from talesieve.functions import text as X
 from talesieve.sources.tables import materialise
 
-#: Elements whose content is no text of the page; classes and ids of noise; void elements.
-DROPPED = "script style nav header footer aside form button iframe noscript svg ins".split()
-NOISE = r"ad|ads|advert|banner|popup|cookie|share|social|comment|sidebar|promo|newsletter|related|breadcrumb|pagination"
+#: Elements whose content is no text of the page; what names classes and ids of noise hold, and those of divisions with the
+#: text; void elements.
+DROPPED = "script style noscript iframe nav footer header aside form button svg canvas".split()
+NOISE = "comment sidebar advert promo popup modal cookie footer header nav menu social share related recommend".split()
+CONTENT = "content chapter story text entry post".split()
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_noise = re.compile(rf"(?:^|[\s_-])(?:{NOISE})(?:$|[\s_-])", re.I)
+_noise = re.compile("|".join(NOISE), re.I)
+_content = re.compile("|".join(CONTENT), re.I)
 #: Lines that sites put below a chapter, and lines that begin a part that is no story.
 BELOW = r"(?i)^(Report\s+chapter|Tip:\s+You\s+can\s+use|Previous\s+Chapter|Next\s+Chapter|Table\s+of\s+Contents|← Prev|Next →|Share\s+this|Rate\s+this|Add\s+to\s+library|Bookmark|Download\s+app|I\s+would\s+like\s+to\s+express\s+my\s+gratitude|Your\s+support\s+allows|Join\s+my\s+(?:newly\s+)?(?:created\s+)?Discord|(?:https?://)?discord\.gg/|(?:https?://)?patreon\.com/|power\s+stones?|golden\s+tickets?).*$"
 CUT_FROM = r"(?i)^(From\s+the\s+author|Author['’]?s?\s+note|Translator['’]?s?\s+(?:note|thought)|transalator\s+thought)s?[\s:]*$"
@@ -25,43 +28,46 @@ LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 class _Main(HTMLParser):
-    """Collects the text of the page and of its likeliest main element."""
+    """Collects the text of the page and of the first visible element of each kind that may hold it."""
+
+    KINDS = ("article", "main", "class", "id", "body", "page")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, str | None]] = []
-        self.found: dict[str, list[str]] = {"article": [], "main": [], "content": [], "body": []}
+        self.open: list[tuple[str, bool, list[str]]] = []
+        self.found: dict[str, list[str]] = {"page": []}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             return
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-        hidden = tag in DROPPED or bool(_noise.search(named)) or bool(self.stack and self.stack[-1][1])
-        role = tag if tag in ("article", "main") else "content" if tag == "div" and re.search("content|chapter|entry|story", named, re.I) else None
-        self.stack.append((tag, hidden, role))
+        named = {k: v or "" for k, v in attrs if k in ("class", "id")}
+        hidden = tag in DROPPED or any(map(_noise.search, named.values())) or bool(self.open and self.open[-1][1])
+        kinds = [tag] if tag in ("article", "main", "body") else [k for k, v in named.items() if tag == "div" and _content.search(v)]
+        first = [] if hidden else [k for k in kinds if k not in self.found]
+        self.found |= {k: [] for k in first}
+        self.open.append((tag, hidden, first))
 
     def handle_endtag(self, tag: str) -> None:
-        for i in reversed(range(len(self.stack))):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+        for i in reversed(range(len(self.open))):
+            if self.open[i][0] == tag:
+                del self.open[i:]
                 return
 
     def handle_data(self, data: str) -> None:
-        if not data.strip() or self.stack and self.stack[-1][1]:
-            return
-        self.found["body"].append(data.strip())
-        for role in {r for _, _, r in self.stack if r}:
-            self.found[role].append(data.strip())
+        if data.strip() and not (self.open and self.open[-1][1]):
+            for kind in ("page", *(k for _, _, kinds in self.open for k in kinds)):
+                self.found[kind].append(data.strip())
 
 
 def main_text(html: str | None) -> str | None:
-    """Text of the first of article, main, a content division and the body that has any, a line per piece."""
+    """Text of the first of an article, a main element, a division whose class or whose id names content, the body and the page that there
+    is, a line per piece."""
     if html is None:
         return None
     p = _Main()
     p.feed(html)
     p.close()
-    return next(("\n".join(v) for v in p.found.values() if v), "")
+    return "\n".join(next(p.found[k] for k in p.KINDS if k in p.found))
 
 
 def pages_text(pages: DataFrame, html: str = "html") -> DataFrame:

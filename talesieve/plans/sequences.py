@@ -133,7 +133,23 @@ def repair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.in_source_order(_valid(spark, sf_dir), sources, KEY, ["index"]).select(*KEY, "index", "new_index")
 
 
-@query()
+_SAID = STRIP.format("coalesce(text, '')")
+_GAP = "regexp_extract(substring(src, start + 1), '^([^\"]*?)(\"|\\n\\n|\\z)', 1, 's')"
+_UNLED = r"regexp_replace({0}, '^[\s,.\-—:;]+', '')".replace("{0}", STRIP.format(_GAP))
+
+
+@query(f"""WITH RECURSIVE {_VALID}, {CH}, b AS (SELECT ok.novel, ok.chapter_num, ok."index" AS i, ok."type" AS t, coalesce(ch.text, '') AS src, lower(coalesce(ch.text, '')) AS low, {_SAID.replace("text", "ok.text")} AS said, {CLEAN.format("ok.text")} AS bare,
+  lead(ok."type") OVER w AS next_type, lower(substring(lead(ok.text) OVER w, 1, 25)) AS next_probe FROM (SELECT * FROM ok) ok JOIN ch USING (novel, chapter_num) WINDOW w AS (PARTITION BY ok.novel, ok.chapter_num ORDER BY ok."index")),
+f AS (SELECT DISTINCT novel, chapter_num, CAST(-1 AS INTEGER) AS i, CAST(0 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS start FROM b
+  UNION ALL SELECT novel, chapter_num, i, CASE WHEN pl < 0 THEN cur WHEN q < 0 THEN pl + length(lower(substring(said, 1, 25))) WHEN split THEN q ELSE q + 1 END, CASE WHEN pl >= 0 AND q >= 0 AND NOT split THEN q + 1 END FROM (
+    SELECT *, coalesce(next_type = 'dialogue' AND contains(substring(low, pl + length(said) + 1, q - pl - length(said)), next_probe), false) AS split FROM (
+      SELECT *, CASE WHEN pl < 0 OR instr(substring(src, pl + length(said) + 1), chr(34)) = 0 THEN -1 ELSE pl + length(said) + instr(substring(src, pl + length(said) + 1), chr(34)) - 1 END AS q FROM (
+        SELECT b.*, f.cur, CASE WHEN t <> 'dialogue' OR length(said) < 5 OR instr(substring(low, f.cur + 1), lower(substring(said, 1, 25))) = 0 THEN -1 ELSE f.cur + instr(substring(low, f.cur + 1), lower(substring(said, 1, 25))) - 1 END AS pl
+        FROM f JOIN b ON b.novel = f.novel AND b.chapter_num = f.chapter_num AND b.i = f.i + 1)))),
+g AS (SELECT f.novel, f.chapter_num, f.i, {STRIP.format(_UNLED)} AS gap FROM f JOIN b USING (novel, chapter_num, i) WHERE start IS NOT NULL),
+k AS (SELECT *, array_to_string({TOKENS.format(CLEAN.format("gap"))}[1:5], ' ') AS known_by FROM g WHERE len({TOKENS.format("gap")}) >= 3)
+SELECT novel, chapter_num, CAST(i + row_number() OVER (PARTITION BY novel, chapter_num ORDER BY i) AS INTEGER) AS "index", 'narration' AS "type", 'neutral' AS tone, gap AS text, true AS added FROM k
+WHERE length(known_by) >= 8 AND NOT EXISTS (SELECT 1 FROM b WHERE b.novel = k.novel AND b.chapter_num = k.chapter_num AND b.i <> k.i AND contains(b.bare, known_by))""")
 def inject_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _valid(spark, sf_dir)
     return narration.inject(rows, chapters(spark, sf_dir), KEY, ["index"]).where("added")

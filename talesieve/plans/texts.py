@@ -117,7 +117,7 @@ def quote_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "segments").where("text is not null").select("seg_id", F.md5(X.straight_quotes(F.col("text"))).alias("straight_md5"))
 
 
-_PAGE = "'<html><head><title>t</title><script>var x = 1;</script></head><body><nav>Home</nav><article><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p><div class=\"share\"><div>Share <b>this</b></div></div></article><footer>(c)</footer></body></html>'"
+_PAGE = "'<html><head><title>t</title><script>var x = 1;</script></head><body><nav>Home</nav><article><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p><p>') || '</p><canvas>c</canvas><div class=\"share\"><div>Share <b>this</b></div></div></article><div class=\"comments\">First!</div><div id=\"site-modal\"><p>Join us</p></div><ul class=\"top-menu\"><li>All</li></ul><p class=\"recommended\">More</p><footer>(c)</footer></body></html>'"
 
 
 @query(rf"""SELECT chapter_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> ''), chr(10))) AS text_md5 FROM chapters WHERE text IS NOT NULL AND {STRIP.format("text")} <> ''""")

@@ -143,13 +143,14 @@ def test_source_order(spark):
 
 def test_narration_is_put_in(spark):
     source = '"I will go," she said, and took the lamp away. "Stay."'
-    got = narration.with_narration(source, [{"type": "dialogue", "tone": "calm", "text": "I will go,"}, {"type": "dialogue", "tone": "calm", "text": "Stay."}])
-    assert [(s["text"], s["added"]) for s in got] == [("I will go,", False), ("she said, and took the lamp away.", True), ("Stay.", False)]
     df = spark.createDataFrame([(1, 0, "dialogue", "calm", "I will go,"), (1, 1, "dialogue", "calm", "Stay.")], SEGMENT)
     rows = narration.inject(df, spark.createDataFrame([(1, source)], "ch int, text string"), KEY, ["index"]).orderBy("index").collect()
     assert [r.type for r in rows] == ["dialogue", "narration", "dialogue"]
-    same = narration.with_narration('"One long quote. And more of it."', [{"type": "dialogue", "tone": "", "text": "One long quote."}, {"type": "dialogue", "tone": "", "text": "And more of it."}])
-    assert len(same) == 2
+    assert [(r.text, r.added) for r in rows] == [("I will go,", False), ("she said, and took the lamp away.", True), ("Stay.", False)]
+    one_quote = spark.createDataFrame([(1, 0, "dialogue", "", "One long quote."), (1, 1, "dialogue", "", "And more of it.")], SEGMENT)
+    assert narration.inject(one_quote, spark.createDataFrame([(1, '"One long quote. And more of it."')], "ch int, text string"), KEY, ["index"]).count() == 2
+    told = spark.createDataFrame([(1, 0, "dialogue", "", "I will go,"), (1, 1, "narration", "", "So she said and took, the lamp!")], SEGMENT)
+    assert narration.inject(told, spark.createDataFrame([(1, source), (2, None)], "ch int, text string"), KEY, ["index"]).count() == 2
 
 
 def test_time_line(spark):
