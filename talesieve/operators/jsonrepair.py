@@ -21,9 +21,19 @@ def array_part(raw: Column) -> Column:
     return F.when(begin == 0, F.lit(None)).when(closed != "", closed).when(objects != "", F.concat(objects, F.lit("\n]")))
 
 
+def with_escaped_quotes(part: Column) -> Column:
+    """Quotes within the values of "text" escaped; a value ends at the first quote before a comma or closing brace."""
+    value = r'(?s)"text":\s*".*?"(?=\s*[,}])'
+    begins = r'^("text":\s*")'
+    inner = lambda m: F.regexp_replace(F.regexp_replace(m, begins, ""), r'"\z', "")
+    escaped = lambda m: F.concat(F.regexp_extract(m, begins, 1), F.regexp_replace(inner(m), r'(?<!\\)"', r'\\"'), F.lit('"'))
+    found = F.transform(F.regexp_extract_all(part, F.lit(f"({value})"), F.lit(1)), escaped)
+    return F.array_join(F.zip_with(F.split(part, value, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def simple_repairs(part: Column) -> Column:
-    """A missing index, a comma before a closing bracket, a missing closing bracket."""
-    part = F.regexp_replace(part, r'"index"\s*:\s*(?=[,}])', '"index": 0')
+    """A missing index, quotes within texts, a comma before a closing bracket, a missing closing bracket."""
+    part = with_escaped_quotes(F.regexp_replace(part, r'"index"\s*:\s*(?=[,}])', '"index": 0'))
     part = F.regexp_replace(part, r",\s*([}\]])", "$1")
     return F.when(F.rtrim(part).endswith("]"), part).otherwise(F.concat(F.regexp_extract(part, r"(?s)^(.*\})", 1), F.lit("\n]")))
 
@@ -40,17 +50,26 @@ def field_by_field(obj: Column) -> Column:
 def object_by_object(part: Column) -> Column:
     """Every flat object by itself: as JSON, else field by field; those without text or type are dropped."""
     objects = F.regexp_extract_all(part, F.lit(r"(?s)(\{[^{}]*\})"), F.lit(1))
-    parsed = lambda o: F.from_json(o, _ITEM)
-    each = F.transform(objects, lambda o: F.when(parsed(o)["text"].isNotNull(), parsed(o)).otherwise(field_by_field(o)))
+    each = F.transform(objects, lambda o: X.let(F.from_json(o, _ITEM), lambda p: F.when(p["text"].isNotNull(), p).otherwise(field_by_field(o))))
     return F.filter(each, lambda s: s["text"].isNotNull() & s["type"].isNotNull())
 
 
 def recovered(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``segments`` and ``status``: ok, repaired, partial (recovered object by object), failed or no_array."""
     good = lambda a: a.isNotNull() & F.forall(a, lambda s: s.isNotNull() & (s["text"].isNotNull() | s["type"].isNotNull()))
-    staged = responses.withColumn("_part", array_part(F.col(raw))).withColumn("_a", F.from_json("_part", _ITEMS)).withColumn("_b", F.from_json(simple_repairs(F.col("_part")), _ITEMS)).withColumn("_c", object_by_object(F.col("_part")))
-    status = F.when(F.col("_part").isNull(), "no_array").when(good(F.col("_a")), "ok").when(good(F.col("_b")), "repaired").when(F.size("_c") > 0, "partial").otherwise("failed")
-    return staged.withColumn("status", status).withColumn("segments", F.when(F.col("status") == "ok", F.col("_a")).when(F.col("status") == "repaired", F.col("_b")).when(F.col("status") == "partial", F.col("_c")).otherwise(F.array().cast(_ITEMS))).drop("_part", "_a", "_b", "_c")
+    told = lambda a, status: F.struct(F.lit(status).alias("status"), a.alias("segments"))
+    none = F.array().cast(_ITEMS)
+
+    def last(c: Column) -> Column:
+        return F.when(F.size(c) > 0, told(c, "partial")).otherwise(told(none, "failed"))
+
+    def second(part: Column) -> Column:
+        return X.let(F.from_json(simple_repairs(part), _ITEMS), lambda b: F.when(good(b), told(b, "repaired")).otherwise(X.let(object_by_object(part), last)))
+
+    def first(part: Column) -> Column:
+        return F.when(part.isNull(), told(none, "no_array")).otherwise(X.let(F.from_json(part, _ITEMS), lambda a: F.when(good(a), told(a, "ok")).otherwise(second(part))))
+
+    return responses.withColumn("_r", X.let(array_part(F.col(raw)), first)).withColumns({"status": F.col("_r.status"), "segments": F.col("_r.segments")}).drop("_r")
 
 
 def stitched(parts: DataFrame, key: list[str], seq: str, raw: str = "raw", passes: int = 3) -> DataFrame:

@@ -36,13 +36,13 @@ def fields_of(body: Column) -> Column:
 
 
 def characters(files: DataFrame, key: list[str], md: str = "md") -> DataFrame:
-    """``key, pos, name, status, confidence, role, last_updated_chapter, introduced_chapter, fields`` of the '### ' entries."""
+    """``key, pos, name, status, confidence, role, last_updated_chapter, introduced_chapter, fields, notes`` of the '### ' entries."""
     body = section(without_comments(F.col(md)), "Characters")
     blocks = files.select(*key, F.posexplode(F.split(F.concat(F.lit("\n"), body), r"\n### ")).alias("pos", "b")).where("pos > 0")
-    rows = blocks.select(*key, "pos", X.strip(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("name"), fields_of(F.regexp_replace("b", r"^[^\n]*\n?", "")).alias("fields"))
+    rows = blocks.select(*key, "pos", "b", X.strip(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("name"), fields_of(F.regexp_replace("b", r"^[^\n]*\n?", "")).alias("fields"))
     word = lambda name, default: F.lower(F.coalesce(F.nullif(F.regexp_extract(F.try_element_at("fields", F.lit(name)), r"^(\w+)", 1), F.lit("")), F.lit(default)))
     number = lambda name: F.nullif(F.regexp_extract(F.try_element_at("fields", F.lit(name)), r"^(\d+)", 1), F.lit("")).try_cast("int")
-    return rows.select(*key, "pos", "name", word("status", "active").alias("status"), word("confidence", "sparse").alias("confidence"), F.lower(F.coalesce(F.try_element_at("fields", F.lit("role")), F.lit("minor"))).alias("role"), number("last_updated_chapter").alias("last_updated_chapter"), number("introduced_chapter").alias("introduced_chapter"), "fields")
+    return rows.select(*key, "pos", "name", word("status", "active").alias("status"), word("confidence", "sparse").alias("confidence"), F.lower(F.coalesce(F.try_element_at("fields", F.lit("role")), F.lit("minor"))).alias("role"), number("last_updated_chapter").alias("last_updated_chapter"), number("introduced_chapter").alias("introduced_chapter"), "fields", patch_notes(F.col("b")).alias("notes"))
 
 
 def unknown_share(files: DataFrame, key: list[str], md: str = "md") -> DataFrame:
@@ -124,3 +124,48 @@ def last_changes(changes: DataFrame, key: list[str], seq: list[str], values: lis
     """Change data folded: of each key the last value that isn't null of each column, and the number of changes."""
     order = F.struct(*seq)
     return changes.groupBy(*key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in values], F.count(F.lit(1)).alias("n_changes"))
+
+
+def _quoted(value: Column) -> Column:
+    """A value as a replacement that stands for itself."""
+    return F.regexp_replace(value, r"([\\$])", r"\\$1")
+
+
+def with_meta_field(md: Column, field: str, value: Column) -> Column:
+    """Every 'field: ...' given the value; where that changes nothing, a line of it below the heading '## Meta'."""
+    changed = F.regexp_replace(md, F.lit(rf"(?d)({field}:\s*)(.+)"), F.concat(F.lit("$1"), _quoted(value)))
+    return F.when(changed != md, changed).otherwise(F.replace(md, F.lit("## Meta\n"), F.concat(F.lit(f"## Meta\n{field}: "), value, F.lit("\n"))))
+
+
+def with_entry(md: Column, entry: Column) -> Column:
+    """An entry, its fences off, at the end of the characters: before the rule above '## Factions', else at the end of all."""
+    bare = X.strip(F.regexp_replace(F.regexp_replace(entry, r"(?m)^```(?:markdown)?\s*\n", ""), r"(?m)\n```\s*$", ""))
+    mark = "\n---\n\n## Factions"
+    return F.when(F.contains(md, F.lit(mark)), F.replace(md, F.lit(mark), F.concat(F.lit("\n\n"), bare, F.lit(mark)))).otherwise(F.concat(md, F.lit("\n\n"), bare, F.lit("\n")))
+
+
+def without_entries(md: Column, names: Column) -> Column:
+    """The text without the '### name' blocks of an array of names, the first of each; a block goes on to the next heading."""
+
+    def less(text: Column, name: Column) -> Column:
+        block = F.concat(F.lit(r"(?ms)\A(.*?)^### \Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s*$.*?(?=^###? |\z)"))
+        return F.regexp_replace(text, block, F.lit("$1"))
+
+    return F.aggregate(names, md, less)
+
+
+def with_sections(files: DataFrame, commands: DataFrame, key: list[str], md: str = "md") -> DataFrame:
+    """``key, md`` after the UPDATE_SECTION and APPEND_CHAPTER_MAP commands of a patch, in order: bodies put at the end of the section named,
+    or of 'Chapter Map'. A missing map is made at the end of all; another section that is missing, or a blank body, changes nothing."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "cmd", "arg", "body")), lambda a, b: a["seq"] - b["seq"])
+    todo = commands.where("cmd in ('UPDATE_SECTION', 'APPEND_CHAPTER_MAP')").groupBy(*key).agg(ordered.alias("_todo"))
+
+    def step(text: Column, c: Column) -> Column:
+        body, named = X.strip(c["body"]), c["cmd"] == "UPDATE_SECTION"
+        end = F.concat(F.lit(r"(?ms)\A(.*?^## \Q"), F.when(named, c["arg"]).otherwise("Chapter Map"), F.lit(r"\E(?=\s*\n).*?)\s*(?=^## |\z)"))
+        there = F.rlike(text, end)
+        grown = F.regexp_replace(text, end, F.concat(F.lit("$1"), F.when(named, "\n\n").otherwise("\n"), _quoted(body), F.lit("\n\n")))
+        made = F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n## Chapter Map\n"), body, F.lit("\n"))
+        return F.when(body == "", text).when(there, grown).when(named, text).otherwise(made)
+
+    return files.select(*key, md).join(todo, key, "left").select(*key, F.when(F.col("_todo").isNull(), F.col(md)).otherwise(F.aggregate("_todo", F.col(md), step)).alias(md))

@@ -54,9 +54,11 @@ def ascii_fold(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fuzzy_keys(asked: DataFrame, keys: DataFrame, name: str = "name") -> DataFrame:
-    """Each asked name with ``found``: the key itself, else the last key of the same folded form; and ``how``."""
+    """Each asked name with ``found``: the key itself, else the key of the same folded form that was written last (``pos``, where there
+    is one, else by name); and ``how``."""
+    order = F.struct(*[F.col(c) for c in ("pos", name) if c in keys.columns])
     exact = keys.select(F.col(name).alias("exact")).distinct()
-    folded = keys.withColumn("folded", ascii_fold(F.col(name))).groupBy("folded").agg(F.max(name).alias("by_fold"))
+    folded = keys.withColumn("folded", ascii_fold(F.col(name))).groupBy("folded").agg(F.max_by(name, order).alias("by_fold"))
     out = asked.withColumn("folded", ascii_fold(F.col(name))).join(exact, F.col(name) == F.col("exact"), "left").join(folded, "folded", "left")
     return out.select(*asked.columns, F.coalesce("exact", "by_fold").alias("found"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_fold").isNotNull(), "folded").otherwise("missing").alias("how"))
 

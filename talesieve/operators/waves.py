@@ -68,10 +68,10 @@ def chapter_files(segments: DataFrame, key: list[str], order: str, rate: int = S
 
     A chapter is put together as one array, as it is one file in the end.
     """
-    gap = lambda ms: F.array_repeat(F.lit(0.0), F.expr(f"cast({ms} * {rate} div 1000 as int)"))
-    piece = F.concat(F.col("wav").cast("array<double>"), gap("pause_ms"))
+    gap = lambda ms: F.array_repeat(F.lit(0.0).cast("float"), F.expr(f"cast({ms} * {rate} div 1000 as int)"))
+    piece = F.concat(F.col("wav").cast("array<float>"), gap("pause_ms"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct(order, piece.alias("w")))), lambda x: x["w"])
-    whole = segments.groupBy(*key).agg(F.concat(F.array_repeat(F.lit(0.0), rate * schema.LEAD_IN_MS // 1000), F.flatten(parts)).alias("wav"))
+    whole = segments.groupBy(*key).agg(F.concat(F.array_repeat(F.lit(0.0).cast("float"), rate * schema.LEAD_IN_MS // 1000), F.flatten(parts)).alias("wav"))
     fields = ", ".join(f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talesieve.functions import audio
 from talesieve.functions import text as X
-from talesieve.operators import jsonrepair, markdown
+from talesieve.operators import jsonrepair, markdown, waves
 from talesieve.plans.catalogue import query
 from talesieve.sources.tables import ensure_checkpoint_dir, table
 from talesieve.streaming.incremental import run_new_files
@@ -22,12 +22,10 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message", X.wait_seconds(F.col("message")).alias("seconds"), X.error_class(F.col("message")).alias("error_class"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]), 5) AS c0, round(avg(embedding[32]), 5) AS c31, round(avg(embedding[64]), 5) AS c63 FROM embeddings GROUP BY label")
+@query("WITH m AS (SELECT label, i, count(*) AS n, round(avg(x), 5) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) SELECT label, max(n) AS n, list(m ORDER BY i) AS centroid FROM m GROUP BY label")
 def voice_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    means = long.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    c = means.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c"))
-    return c.select("label", "n", *[F.round(F.get("c", F.lit(i)), 5).alias(f"c{i}") for i in (0, 31, 63)])
+    c = waves.centroids(table(spark, sf_dir, "embeddings"), "label")
+    return c.select("label", "n", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(least(greatest(CAST(x AS DOUBLE) * 32767, -32768), 32767)) AS SMALLINT)) AS pcm FROM embeddings")
@@ -51,8 +49,8 @@ def resample_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, count(*) AS n_kept, round(sum(seconds), 4) AS seconds FROM k WHERE n <= 50 GROUP BY label""")
 def clip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 clips of each label that last a second and a half."""
-    clips = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.lit(1.0) + (F.col("vec_id") % 17) / 10.0).alias("seconds")).where("seconds >= 1.5")
-    kept = clips.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 50")
+    clips = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.lit(1.0) + (F.col("vec_id") % 17) / 10.0).alias("seconds"))
+    kept = waves.kept_clips(clips, ["label"], "vec_id")
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("seconds"), 4).alias("seconds"))
 
 

@@ -41,9 +41,8 @@ def speaker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT seg_id, coalesce(t.speed, n.speed) AS speed, coalesce(t.temperature, n.temperature) AS temperature, coalesce(t.top_k, n.top_k) AS top_k FROM segments s LEFT JOIN tone_profiles t ON t.tone = s.tone CROSS JOIN (SELECT * FROM tone_profiles WHERE tone = 'neutral') n""")
 def tone_profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "tone_profiles")
-    known = F.broadcast(profiles)  # the fixed list of tones
-    kinds = table(spark, sf_dir, "segments").join(known.select("tone").withColumn("is_known", F.lit(True)), "tone", "left")
-    return kinds.withColumn("tone", F.when(F.col("is_known"), F.col("tone")).otherwise("neutral")).join(known, "tone").select("seg_id", "speed", "temperature", "top_k")
+    kinds = table(spark, sf_dir, "segments").join(profiles.select("tone").withColumn("is_known", F.lit(True)), "tone", "left")
+    return kinds.withColumn("tone", F.when(F.col("is_known"), F.col("tone")).otherwise("neutral")).join(profiles, "tone").select("seg_id", "speed", "temperature", "top_k")
 
 
 _FOLDED = "trim(lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')))"
@@ -189,3 +188,38 @@ def casting_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = _registry(spark, sf_dir)
     asked = reg.select("novel", "pos", "name", F.col("xtts_speaker").alias("voice"))
     return pipelines.cast(reg.select("novel", "pos", "name", "gender"), reg, asked, table(spark, sf_dir, "voices"), ["Wynengan Emaruun"], "novel", mode="all")
+
+
+@query(f"WITH {_REG}, x AS (SELECT novel, name FROM reg WHERE pos % 3 <> 1 UNION ALL SELECT DISTINCT novel, 'zz_new' FROM reg) SELECT novel, name, CASE WHEN name = 'zz_new' THEN 'guide' END AS role, '12' AS updated, concat('Old.', chr(10), chr(10), 'Later.') AS overview, 'Ch 12: $1 \\ dawn' AS map FROM x")
+def novel_md_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Novel databases edited as text: characters out, one in, a field of Meta set, a section and the chapter map grown; read back."""
+    none = F.create_map(F.lit("gender"), F.lit("unknown"))
+    reg = _registry(spark, sf_dir)
+    files = markdown.render_characters(reg.select("novel", "pos", "name", none.alias("fields")), ["novel"]).withColumn("md", F.replace(F.replace("md", F.lit("## Overview\n"), F.lit("## Meta\nnovel: x\n\n## Overview\nOld.\n")), F.lit("\n\n## Factions"), F.lit("\n\n---\n\n## Factions")))
+    gone = reg.where("pos % 3 = 1").groupBy("novel").agg(F.collect_list("name").alias("gone"))
+    md = markdown.with_entry(F.col("md"), F.lit("```markdown\n### zz_new\n- role: guide\n```"))
+    md = markdown.without_entries(md, F.coalesce("gone", F.expr("cast(array() as array<string>)")))
+    edited = files.join(gone, "novel", "left").select("novel", markdown.with_meta_field(markdown.with_meta_field(md, "last_updated_chapter", F.lit("7")), "last_updated_chapter", F.lit("12")).alias("md"))
+    commands = edited.select("novel", F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(c).alias("cmd"), F.lit(a).alias("arg"), F.lit(b).alias("body")) for i, (c, a, b) in enumerate([("UPDATE_SECTION", "Overview", "Later.\n"), ("UPDATE_SECTION", "Nowhere", "x"), ("APPEND_CHAPTER_MAP", "", "Ch 12: $1 \\ dawn")])])).alias("c")).select("novel", "c.*")
+    done = markdown.with_sections(edited, commands, ["novel"])
+    read = markdown.characters(done, ["novel"]).select("novel", "name", F.try_element_at("fields", F.lit("role")).alias("role"))
+    whole = done.select("novel", F.regexp_extract("md", r"last_updated_chapter: (\d+)", 1).alias("updated"), X.strip(markdown.section(F.col("md"), "Overview")).alias("overview"), X.strip(markdown.section(F.col("md"), "Chapter Map")).alias("map"))
+    return read.join(whole, "novel")
+
+
+@query(f"""WITH {_REG}, k AS (SELECT DISTINCT novel, name FROM reg), c AS (SELECT *, length(name) % 4 AS how FROM k)
+SELECT novel, name, CASE how WHEN 0 THEN 'dormant' ELSE 'active' END AS status, CASE how WHEN 1 THEN 'tall' END AS look, CASE how WHEN 1 THEN 'Ch 3: left' END AS note, CASE WHEN how IN (2, 3) THEN 1 ELSE 0 END AS n_rejected FROM c
+UNION ALL SELECT DISTINCT novel, 'zz_new', 'active', 'short', 'Ch 1: came', 0 FROM k""")
+def patch_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch against every registered character, as text: marked dormant, updated, pruned though active, and an update of one unknown
+    before it is new."""
+    known = _registry(spark, sf_dir).select("novel", "name").distinct()
+    empty = F.expr("cast(map() as map<string,string>)")
+    old = known.select("novel", "name", F.lit("active").alias("status"), empty.alias("fields"), F.expr("cast(array() as array<struct<chapter:int,note:string>>)").alias("notes"))
+    how = F.length("name") % 4
+    text = F.when(how == 0, F.concat(F.lit("MARK_DORMANT: "), "name")).when(how == 1, F.concat(F.lit("UPDATE_CHARACTER: "), "name", F.lit("\nlook: tall\narc_notes_append:\n- Ch 3: left"))).otherwise(F.concat(F.lit("PRUNE: "), "name"))
+    one = known.where(~F.contains("name", F.lit("\n"))).groupBy("novel").agg(F.concat(F.lit("```\n"), F.array_join(F.collect_list(text), "\n"), F.lit("\nNEW_CHARACTER: zz_new\nlook: short\narc_notes_append:\n- Ch 1: came\n```")).alias("patch"))
+    commands = markdown.patch_commands(one, ["novel"]).select("novel", F.col("arg").alias("name"), "seq", "cmd", markdown.patch_fields(F.col("body")).alias("fields"), markdown.patch_notes(F.col("body")).alias("notes"))
+    done = markdown.patched(old, commands, ["novel", "name"])
+    note = F.get("notes", F.lit(0))
+    return done.select("novel", "name", "status", F.try_element_at("fields", F.lit("look")).alias("look"), F.when(note.isNotNull(), F.concat(F.lit("Ch "), note["chapter"], F.lit(": "), note["note"])).alias("note"), "n_rejected")

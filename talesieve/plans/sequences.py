@@ -107,6 +107,11 @@ def dedup_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.without_repeated_dialogue(_valid(spark, sf_dir), KEY, ["index"], "seg_id", threshold=0.5)
 
 
+@query(f"""WITH {_FOLD.format(valid=_VALID, words=f'list_distinct({WORDS.format("text")})', t=S.SAME_LINE)}
+SELECT novel, chapter_num, seg_id, CAST(row_number() OVER (PARTITION BY novel, chapter_num ORDER BY "index") - 1 AS INTEGER) AS "index" FROM f WHERE kept""")
+def dedup_consecutive_95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.without_repeated_dialogue(_valid(spark, sf_dir), KEY, ["index"], "seg_id")
+
 
 
 @query(f"""WITH RECURSIVE {_VALID}, {CH}, st AS (SELECT novel, chapter_num, list_transform({PARAGRAPHS.format("text")}, lambda p: {PROBE.format("p")}) AS starts FROM ch),
@@ -218,13 +223,16 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, raw.alias("raw"))
 
 
-@query(f"""WITH {_VALID}, n AS (SELECT novel, chapter_num, count(*) AS n, CASE WHEN max(CASE WHEN regexp_matches(text, '[\\[\\]{{}}\\\\]') THEN 1 ELSE 0 END) = 0 THEN chapter_num % 5 ELSE 0 END AS how FROM ok GROUP BY novel, chapter_num)
-SELECT novel, chapter_num, CASE how WHEN 3 THEN 'repaired' WHEN 4 THEN 'partial' ELSE 'ok' END AS status, CAST(n AS INTEGER) AS n_segments FROM n""")
+@query(f"""WITH {_VALID}, n AS (SELECT novel, chapter_num, count(*) AS n, CASE WHEN max(CASE WHEN regexp_matches(text, '[\\[\\]{{}}\\\\]') THEN 1 ELSE 0 END) = 0 THEN chapter_num % 5 ELSE 0 END AS how, bool_or(regexp_matches(text, '"\\s*,')) AS ends,
+  string_agg(text, chr(10) ORDER BY "index") AS texts, string_agg('she said "no" and ' || text, chr(10) ORDER BY "index") AS said FROM ok GROUP BY novel, chapter_num)
+SELECT novel, chapter_num, CASE WHEN how = 3 THEN 'repaired' WHEN how < 3 THEN 'ok' WHEN ends THEN 'partial' ELSE 'repaired' END AS status, CAST(n AS INTEGER) AS n_segments, CASE WHEN how < 4 THEN md5(texts) WHEN NOT ends THEN md5(said) END AS texts_md5 FROM n""")
 def json_repair_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonrepair.recovered(_responses(spark, sf_dir)).select(*KEY, "status", F.size("segments").alias("n_segments"))
+    """With the texts that came back, where a quote and comma within a text doesn't leave it in pieces."""
+    found = jsonrepair.recovered(_responses(spark, sf_dir))
+    return found.select(*KEY, "status", F.size("segments").alias("n_segments"), F.when(F.col("status") != "partial", F.md5(F.array_join(F.transform("segments", lambda s: s["text"]), "\n"))).alias("texts_md5"))
 
 
-@query(f"""WITH {_VALID} SELECT novel, chapter_num, CAST(2 AS INTEGER) AS n_parts, CAST(count(*) AS INTEGER) AS n_segments FROM ok GROUP BY novel, chapter_num HAVING count(*) >= 4""")
+@query(f"""WITH {_VALID} SELECT novel, chapter_num, CAST(2 AS INTEGER) AS n_parts, CAST(count(*) AS INTEGER) AS n_segments, md5(string_agg(md5(text), ' ' ORDER BY "index")) AS texts_md5 FROM ok GROUP BY novel, chapter_num HAVING count(*) >= 4""")
 def continuation_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays cut in two within an object and put together again."""
     item = F.struct(F.col("index").cast("int").alias("index"), "type", "tone", F.md5("text").alias("text"))
@@ -234,12 +242,12 @@ def continuation_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.concat(F.regexp_replace(F.to_json(F.slice("a", half + 1, F.size("a") - half)), r"^\[", "Here is more: "), F.lit(""))
     parts = rows.select(*KEY, F.posexplode(F.array(first, second)).alias("seq", "raw"))
     whole = jsonrepair.stitched(parts, KEY, "seq")
-    return jsonrepair.recovered(whole).select(*KEY, "n_parts", F.size("segments").alias("n_segments"))
+    return jsonrepair.recovered(whole).select(*KEY, "n_parts", F.size("segments").alias("n_segments"), F.md5(F.array_join(F.transform("segments", lambda s: s["text"]), " ")).alias("texts_md5"))
 
 
-@query(f"""WITH {_VALID}, {CH}, n AS (SELECT novel, chapter_num, count(*) AS n, CASE WHEN max(CASE WHEN regexp_matches(text, '[\\[\\]{{}}\\\\]') THEN 1 ELSE 0 END) = 0 THEN chapter_num % 5 ELSE 0 END AS how, list_distinct(flatten(list({WORDS.format("text")}))) AS ws FROM ok GROUP BY novel, chapter_num),
-h AS (SELECT novel, chapter_num, n, how, CASE WHEN how = 4 THEN list_concat(ws, ['she', 'said', 'no', 'and']) ELSE ws END AS ws FROM n), c AS (SELECT novel, chapter_num, list_distinct({WORDS.format("coalesce(text, '')")}) AS cw FROM ch)
-SELECT novel, chapter_num, CASE how WHEN 3 THEN 'repaired' WHEN 4 THEN 'partial' ELSE 'ok' END AS status, CAST(n AS INTEGER) AS n_segments, CAST(len(cw) AS INTEGER) AS n_source_words, round(CASE WHEN len(cw) = 0 THEN 1.0 ELSE len(list_intersect(cw, ws)) / len(cw) END, 6) AS coverage FROM h LEFT JOIN c USING (novel, chapter_num)""")
+@query(f"""WITH {_VALID}, {CH}, n AS (SELECT novel, chapter_num, count(*) AS n, CASE WHEN max(CASE WHEN regexp_matches(text, '[\\[\\]{{}}\\\\]') THEN 1 ELSE 0 END) = 0 THEN chapter_num % 5 ELSE 0 END AS how, bool_or(regexp_matches(text, '"\\s*,')) AS ends, list_distinct(flatten(list({WORDS.format("text")}))) AS ws FROM ok GROUP BY novel, chapter_num),
+h AS (SELECT novel, chapter_num, n, how, ends, CASE WHEN how = 4 THEN list_concat(ws, ['she', 'said', 'no', 'and']) ELSE ws END AS ws FROM n), c AS (SELECT novel, chapter_num, list_distinct({WORDS.format("coalesce(text, '')")}) AS cw FROM ch)
+SELECT novel, chapter_num, CASE WHEN how = 3 THEN 'repaired' WHEN how < 3 THEN 'ok' WHEN ends THEN 'partial' ELSE 'repaired' END AS status, CAST(n AS INTEGER) AS n_segments, CAST(len(cw) AS INTEGER) AS n_source_words, round(CASE WHEN len(cw) = 0 THEN 1.0 ELSE len(list_intersect(cw, ws)) / len(cw) END, 6) AS coverage FROM h LEFT JOIN c USING (novel, chapter_num)""")
 def inspect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talesieve.plans import pipelines
 
@@ -254,3 +262,38 @@ def parse_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = pipelines.parsed(chapters(spark, sf_dir), KEY, offline_labeller)
     return rows.select(*KEY, "index", "type", F.length("text").alias("n_chars"), "n_merged")
+
+
+_RATE = 20
+_CLEAN_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query("WITH " + _PACK.format(source=f"""{_VALID}, a AS (SELECT *, {_CLEAN_ASCII} AS clean, coalesce(nullif({_CLEAN_ASCII}, ''), text) AS body FROM ok),
+src AS (SELECT seg_id AS id, CASE WHEN length(body) <= 150 THEN [body] ELSE string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS ts FROM a)""", limit=150) + f""", p AS (SELECT id, count(*) AS n, max(length(cur)) AS longest, sum(length({STRIP.format('cur')})) AS total, bool_and(regexp_matches(cur, '^[\\x00-\\x7F]*$')) AS plain FROM c GROUP BY id),
+w AS (SELECT a.*, p.n, p.total, CASE WHEN text = clean AND length(text) <= 200 THEN 'normal' WHEN clean <> '' AND clean <> text AND length(clean) <= 200 THEN 'cleaned' WHEN n > 1 AND longest <= 200 AND plain THEN 'split' ELSE 'placeholder_inserted' END AS strategy,
+  lead("type") OVER (PARTITION BY novel, chapter_num ORDER BY "index") AS next_type FROM a JOIN p ON p.id = a.seg_id),
+x AS (SELECT w.*, CASE strategy WHEN 'normal' THEN length({STRIP.format('text')}) WHEN 'cleaned' THEN length({STRIP.format('clean')}) WHEN 'split' THEN total + 2 * (n - 1) ELSE 40 END AS samples, CASE WHEN next_type IS NULL THEN 0 ELSE coalesce(pause_ms, 400) * {_RATE} // 1000 END AS gap
+  FROM w LEFT JOIN (VALUES {", ".join(f"('{a}','{b}',{p})" for a, b, p in schema.PAUSES)}) r(a, b, pause_ms) ON w."type" = r.a AND next_type = r.b)
+SELECT novel, chapter_num, CAST(10 + sum(samples) + sum(gap) AS BIGINT) AS n_samples, count(*) FILTER (strategy <> 'normal') AS n_fallbacks, count(*) FILTER (strategy = 'placeholder_inserted') AS n_to_fix FROM x GROUP BY novel, chapter_num""")
+def chapter_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From segments to WAV files and failure logs with a stand-in for the model."""
+    from talesieve.operators.rendering import offline_renderer
+    from talesieve.plans import pipelines
+    from talesieve.plans.registries import _registry
+    from talesieve.sources.tables import table
+
+    files, _, log = pipelines.chapter_audio(_valid(spark, sf_dir), _registry(spark, sf_dir), table(spark, sf_dir, "tone_profiles"), offline_renderer, KEY, "novel", _RATE, X.ascii_only(F.col("text")))
+    sizes = files.select(*KEY, ((F.octet_length("content") - 44) / 2).cast("long").alias("n_samples"))
+    failed = log.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_fallbacks"), F.count("action").alias("n_to_fix"))
+    return sizes.join(failed, KEY, "left").na.fill(0, ["n_fallbacks", "n_to_fix"])
+
+
+@query(f"""WITH {_VALID}, {CH} SELECT novel, chapter_num, CASE WHEN chapter_num % 4 = 0 THEN 'skipped' WHEN EXISTS (SELECT 1 FROM ok WHERE ok.novel = ch.novel AND ok.chapter_num = ch.chapter_num) THEN 'done' ELSE 'failed' END AS status
+FROM ch WHERE chapter_num BETWEEN 2 AND 30""")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters 2 to 30 of every novel, each fourth done before; those without a segment come to nothing."""
+    from talesieve.plans import pipelines
+
+    rows, valid = chapters(spark, sf_dir), _valid(spark, sf_dir)
+    done = rows.where("chapter_num % 4 = 0").select(*KEY)
+    return pipelines.batch_run(rows, done, KEY, lambda waiting: valid.join(waiting.select(*KEY), KEY, "left_semi"), 2, 30)[0]
