@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from talesieve.llm.canonical import deletions, edit_distance
 from talesieve.llm.lookalike import INTO, LATIN, compose, script_counts
 from talesieve.sources.tables import materialise
 
+#: Slips that the tokens of two spellings, assigned to one another, may have in all.
+MOST_SLIPS = 2
 #: Words for no one in particular.
 NO_NAME = """narrator narration system unknown unnamed anonymous none null nobody somebody someone anyone everyone everybody all both
 he she it they we you i me him her them us his hers their who voice voices crowd people others other another stranger man woman
@@ -106,7 +107,8 @@ def parse(name: str) -> tuple[str, list[str], list[str]] | None:
         return ("full" if len(words) > 1 else "short", sorted(words), []) if words else None
     while len(found) > 1 and found[0][0] in TITLES and (len(found[0][0]) > 1):
         found = found[1:]
-    whole = sorted(w for w, _ in found if len(w) > 1)
+    # a full stop behind several letters tells an abbreviation
+    whole = sorted(w + "." * (dot and len(w) > 2 and len(found) > 1) for w, dot in found if len(w) > 1)
     initials = sorted(w for w, _ in found if len(w) == 1)
     if not whole:
         return "acronym", [], initials
@@ -117,21 +119,67 @@ def spelled(kind: str, whole: list[str], initials: list[str]) -> str:
     return f"{kind}:{' '.join(whole)}|{''.join(initials)}"
 
 
-def slip_keys(whole: list[str]) -> set[str]:
-    """All tokens but one as they are, and the neighbourhood of that one."""
-    return {f"{' '.join(whole[:i] + whole[i + 1 :])}|{d}" for i, t in enumerate(whole) for d in deletions(t, 1 if len(t) > 2 else 0)}
+def slips_allowed(token: str) -> int:
+    """Edits of one token: none of short ones, two of long ones."""
+    return 0 if len(token) < 3 else 1 if len(token) < 9 else 2
 
 
-def assigned_cost(a: list[str], b: list[str]) -> int:
-    """Edits of the best assignment of the tokens of ``a`` to those of ``b``; of many tokens, common ones are set aside."""
-    left, right = list(a), list(b)
-    for t in a:
-        if t in right:
-            left.remove(t)
-            right.remove(t)
-    if len(left) != len(right) or len(left) > 4:
-        return 99
-    return min((sum(map(edit_distance, left, p)) for p in permutations(right)), default=0)
+def slip_keys(whole: list[str]) -> set[str]:
+    """Of each token its neighbourhood by deletion (of an abbreviation its beginning), with the first letters of the others."""
+    keys = set()
+    for i, t in enumerate(whole):
+        others = "".join(sorted(o[0] for o in whole[:i] + whole[i + 1 :]))
+        keys |= {f"{others}|{d}" for d in deletions(t.rstrip("."), slips_allowed(t))}
+    return keys
+
+
+def token_cost(a: str, b: str) -> float:
+    """What it costs that one token stands for the other: nothing if equal, half a slip to spell out an abbreviation, else its slips."""
+    if a == b:
+        return 0.0
+    for x, y in ((a, b), (b, a)):
+        if x.endswith(".") and y.startswith(x[:-1]):
+            return 0.5
+    a, b = a.rstrip("."), b.rstrip(".")
+    allowed = min(slips_allowed(a), slips_allowed(b))
+    if abs(len(a) - len(b)) > allowed:
+        return 99.0
+    d = edit_distance(a, b)
+    return float(d) if d <= allowed and (d < 2 or a[0] == b[0]) else 99.0
+
+
+def assigned_cost(a: list[str], b: list[str]) -> float:
+    """Cost of the best assignment of the tokens of ``a`` to those of ``b``, one to one, by shortest augmenting paths."""
+    if len(a) != len(b):
+        return 99.0
+    n = len(a)
+    costs = [[token_cost(x, y) for y in b] for x in a]
+    # potentials of rows and columns; of each column the row assigned to it
+    row_of, of_row, of_column = [0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, came, done = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while row_of[at]:
+            done[at] = True
+            row, step, following = row_of[at], float("inf"), 0
+            for j in range(1, n + 1):
+                if not done[j]:
+                    reduced = costs[row - 1][j - 1] - of_row[row] - of_column[j]
+                    if reduced < least[j]:
+                        least[j], came[j] = reduced, at
+                    if least[j] < step:
+                        step, following = least[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    of_row[row_of[j]] += step
+                    of_column[j] -= step
+                else:
+                    least[j] -= step
+            at = following
+        while at:
+            row_of[at] = row_of[came[at]]
+            at = came[at]
+    return sum(costs[row_of[j] - 1][j - 1] for j in range(1, n + 1))
 
 
 @lru_cache(100_000)
@@ -151,6 +199,11 @@ def offered_keys(whole: list[str], initials: list[str]) -> list[tuple[str, str]]
             keys |= {(f"n:{t[:3]}|{tail}", t) for tail in (rest, "", *(f"{o[0]}." for o in others))}
         if t in ORGANISATIONS:
             keys.add((f"o:{rest}", ""))
+        # with a slip in a token: alone, beside initials
+        for d in deletions(t, slips_allowed(t)) if len(t) > 4 else ():
+            keys.add((f"S:{d}", t))
+            if len(others) == 1:
+                keys.add((f"I:{others[0][0]}|{d}", t))
     if any(map(_names_organisation, whole)):
         keys.add(("a:" + "".join(sorted(t[0] for t in whole)), ""))
     if initials:
@@ -159,7 +212,8 @@ def offered_keys(whole: list[str], initials: list[str]) -> list[tuple[str, str]]
 
 
 def asked_keys(kind: str, whole: list[str], initials: list[str]) -> list[tuple[int, str, str]]:
-    """Rank, key and stem of what a spelling looks for: those of the least rank first; the stem must begin the token found."""
+    """Rank, key and stem of what a spelling looks for: those of the least rank first. The stem must begin the token found; one behind a
+    tilde must be it but for slips."""
     if kind == "acronym":
         return [(0, "a:" + "".join(sorted(initials)), "")]
     asked = []
@@ -179,6 +233,8 @@ def asked_keys(kind: str, whole: list[str], initials: list[str]) -> list[tuple[i
             asked.append((0, f"i:{''.join(initials)}|{' '.join(whole)}", ""))
         elif len(whole) == 1:
             asked.append((0, f"s:{whole[0]}", ""))
+        if len(whole) == 1 and len(whole[0]) > 4 and len(initials) < 2:
+            asked += [(4, f"I:{initials[0]}|{d}" if initials else f"S:{d}", f"~{whole[0]}") for d in deletions(whole[0], slips_allowed(whole[0]))]
         asked.append((3, f"o:{' '.join(whole)}", ""))
     return asked
 
@@ -203,6 +259,8 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     parsed = materialise(map_columns(distinct, parsed_schema, read).withColumn("at", F.coalesce(F.col(scope).cast("string"), F.lit("\x00"))))
     forms = parsed.groupBy("at", "form").agg(F.first("kind").alias("kind"), F.first("whole").alias("whole"), F.first("initials").alias("initials"))
     full = forms.where("kind = 'full'").select("at", "form", "whole")
+    alone = forms.where("kind = 'short' and size(whole) = 1 and size(initials) = 0 and length(whole[0]) > 4").select("at", "form", "whole")
+    linkable = full.unionByName(alone).select("at", "form")
 
     key_schema = T._parse_datatype_string("at string, form string, key string")
 
@@ -210,16 +268,17 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
         rows = [(a, f, k) for a, f in zip(cols["at"], cols["form"]) for k in slip_keys(_tokens_of(f))]
         return {c: [r[i] for r in rows] for i, c in enumerate(key_schema.names)}
 
-    keyed = map_columns(full.select("at", "form"), key_schema, slips)
+    keyed = map_columns(linkable, key_schema, slips)
     near_schema = T._parse_datatype_string("at string, a string, b string")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= 1]
+        rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= MOST_SLIPS]
         return {c: [r[i] for r in rows] for i, c in enumerate(near_schema.names)}
 
     met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.at") == F.col("q.at")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.form") < F.col("q.form"))).select(F.col("p.at").alias("at"), F.col("p.form").alias("a"), F.col("q.form").alias("b")).distinct()
     near = map_columns(met, near_schema, judge)
-    names_of = components(full.select("at", "form"), near)
+    linked = components(linkable, near)
+    names_of = linked.join(full.select("at", "form"), ["at", "form"], "left_semi")
 
     offer_schema = T._parse_datatype_string("at string, label string, key string, token string")
 
@@ -236,7 +295,11 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     def fit(asking: DataFrame, offering: DataFrame) -> DataFrame:
         """Of each asking form, the only name that fits at the least rank at which any fits."""
         got = map_columns(asking.select("at", "form", "kind", "whole", "initials"), ask_schema, asks).join(map_columns(offering.select("at", "label", "whole", "initials"), offer_schema, offers), ["at", "key"])
-        got = got.where((F.col("form") != F.col("label")) & F.startswith("token", F.col("stem")))
+        meant, letters = F.regexp_replace("stem", "^~", ""), lambda c: F.array_sort(F.split(c, ""))
+        slips = F.levenshtein("token", meant)
+        least = F.least(F.length("token"), F.length(meant))
+        near = (slips <= 1) | ((slips == 2) & (F.substring("token", 1, 1) == F.substring(meant, 1, 1)) & ((least >= 9) | (letters(F.col("token")) == letters(meant))))
+        got = got.where((F.col("form") != F.col("label")) & F.when(F.startswith("stem", F.lit("~")), near).otherwise(F.startswith("token", F.col("stem"))))
         ranked = got.groupBy("at", "form", "rank").agg(F.min("label").alias("label"), F.max("label").alias("last"))
         best = ranked.groupBy("at", "form").agg(F.min_by(F.struct("label", "last"), "rank").alias("x"))
         return best.where("x.label = x.last").select("at", "form", "x.label")
@@ -246,7 +309,8 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     named = materialise(names_of.join(pets.withColumnRenamed("label", "to"), ["at", "form"], "left").select("at", "form", F.coalesce("to", "label").alias("label")))
     short = forms.where("kind != 'full'")
     first = fit(short, whole.join(named, ["at", "form"]))
-    labels = materialise(short.select("at", "form").join(first, ["at", "form"], "left").select("at", "form", F.coalesce("label", "form").alias("label")).unionByName(named))
+    among = linked.join(alone.select("at", "form"), ["at", "form"], "left_semi").withColumnRenamed("label", "own")
+    labels = materialise(short.select("at", "form").join(first, ["at", "form"], "left").join(among, ["at", "form"], "left").select("at", "form", F.coalesce("label", "own", "form").alias("label")).unionByName(named))
     # what is short and stands for itself may still be sought by what is shorter
     left = short.where(F.size("whole") > 0).join(labels.where("form = label"), ["at", "form"])
     second = fit(left.where("size(initials) = 0"), left.where("size(initials) > 0"))
