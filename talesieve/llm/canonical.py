@@ -1,9 +1,9 @@
 """Freely typed values mapped to the entries of a reference list.
 
 Each distinct value is cut into tokens. Each distinct token is joined to the vocabulary of the reference lists by small
-edit distance (a symmetric-delete neighbourhood), by abbreviation (leading letters, or consonants in order) or by exact
-form; the repaired tokens are combined by soft TF-IDF to rank the complete entries. Words of the same meaning belong
-to an entry's phrases, but are matched by exact form only: a slip of the pen is sought near the list's own words.
+edit distance (a symmetric-delete neighbourhood), by abbreviation (leading letters, or consonants in order), by stem or by
+exact form; the repaired tokens are combined by soft TF-IDF to rank the complete entries. A caller may give words of the same
+meaning; they belong to an entry's phrases, but are matched by exact form only: a slip of the pen is sought near the list's own words.
 A value whose best phrase belongs to another field's list only, or to none, is 'unmatched'.
 """
 
@@ -20,37 +20,12 @@ from pyspark.sql import types as T
 from talesieve.llm.arrowrun import map_columns
 from talesieve.llm.lookalike import compose, fold
 
-#: Words and phrases that mean an entry.
-SAME_MEANING = {
-    "tone": {
-        "neutral": "neutrally, neutrality, flat, plain, matter of fact, matter-of-fact, even, impassive, deadpan, indifferent, normal, default, standard",
-        "calm": "calmly, calmness, calming, calmed, serene, serenely, serenity, peaceful, tranquil, placid, composed, relaxed, soothing, quiet",
-        "tense": "tensely, tension, tensed, tenseness, strained, nervous, anxious, on edge, uneasy, suspenseful, taut",
-        "whisper": "whispering, whispers, whispered, whispery, hushed, sotto voce, under the breath, murmur, murmuring, murmured, in a low voice",
-        "angry": "angrily, angered, anger, enraged, furious, furiously, fury, mad, irate, wrathful, rage, raging, outraged, livid, infuriated, cross",
-        "sad": "sadly, saddened, sadness, unhappy, unhappily, downcast, melancholy, melancholic, gloomy, tearful, glum, blue",
-        "excited": "excitedly, excitement, exciting, thrilled, thrilling, eager, eagerly, enthusiastic, elated, exhilarated, overexcited",
-        "cold": "coldly, coldness, icy, icily, frosty, chilly, frigid, aloof, distant, detached, unfeeling",
-        "fearful": "fearfully, fear, fearing, fearfulness, afraid, frightened, scared, terrified, terror, panicked, panicky, timid, alarmed",
-        "sarcastic": "sarcastically, sarcasm, ironic, ironical, ironically, irony, sardonic, sardonically, wry, snide, caustic",
-        "pleading": "pleadingly, pleads, plead, plea, pleaded, begging, begs, imploring, implores, beseeching, entreating, desperate",
-        "commanding": "commandingly, command, commands, commanded, authoritative, ordering, orders, imperious, imperative, bossy, domineering, stern",
-        "gentle": "gently, gentleness, tender, tenderly, soft, softly, kind, kindly, warm, mild, caring",
-        "mocking": "mockingly, mocks, mock, mocked, mockery, taunting, taunts, jeering, jeers, teasing, ridiculing, scoffing, derisive, sneering",
-        "sorrowful": "sorrowfully, sorrow, sorrows, sorrowing, grieving, grief, mournful, mourning, grief-stricken, woeful, lamenting",
-        "triumphant": "triumphantly, triumph, triumphs, triumphal, victorious, victoriously, exultant, jubilant, gloating, winning",
-    },
-    "type": {
-        "dialogue": "dialogues, dialog, dialogs, dialogue line, spoken, speech, speaking, spoken line, conversation, talk, talking, quote, quoted speech, direct speech, said, utterance",
-        "narration": "narrations, narrative, narrated, narrator, narrating, narrate, storytelling, telling, description, descriptive, prose, exposition",
-        "action": "actions, action beat, act, acts, acting, deed, movement, event, beat",
-        "thought": "thoughts, thinking, think, inner thought, inner thoughts, inner monologue, internal monologue, interior monologue, monologue, inner voice, internal thought, musing, reflection, mental",
-    },
-}
 #: Words that qualify a value without changing its meaning.
 QUALIFIERS = "a an the very slightly quite rather somewhat really extremely mostly bit little more less fairly highly too so pretty tone type voice style mood field".split()
 #: Share of a phrase's weight that a value must reach.
 LEAST_SCORE = 0.75
+#: Endings that make other words of an English one.
+ENDINGS = "ation ated ating ator ative ement ments ment ness ity ally ily ing ery ful ant ate ion ed es al ly s e y".split()
 _letters = re.compile(r"[^\W\d_]+")
 _remark = re.compile(r"\(.*?\)")
 VOWELS = set("aeiouy")
@@ -93,14 +68,25 @@ def consonants(word: str) -> str:
     return word[:1] + "".join(c for c in word[1:] if c not in VOWELS)
 
 
+def stem(word: str) -> str:
+    """The word without endings, one after the other, as long as three letters are left."""
+    while (ending := next((e for e in ENDINGS if word.endswith(e) and len(word) - len(e) >= 3), None)) is not None:
+        word = word[: -len(ending)]
+    return word
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether three or more letters are the word's first one and consonants of it in order."""
+    rest = iter(consonants(word)[1:])
+    return len(short) > 2 and short[0] == word[:1] and all(c in rest for c in short[1:])
+
+
 def vocabulary_keys(word: str) -> set[str]:
-    """Join keys of a reference word: its neighbourhood, its beginnings, and its consonants in order."""
+    """Join keys of a reference word: its neighbourhood, its beginnings, its first letter with each of its consonants, its stem."""
     keys = {f"e:{d}" for d in deletions(word, edits_allowed(word))}
     keys |= {f"p:{word[:k]}" for k in range(2, len(word))}
-    frame = consonants(word)
-    for n in range(2, len(frame)):
-        keys |= {f"c:{frame[0]}{''.join(rest)}" for rest in combinations(frame[1:], n)}
-    return keys
+    keys |= {f"c:{word[0]}{c}" for c in consonants(word)[1:]}
+    return keys | ({f"s:{stem(word)}"} if len(word) > 2 else set())
 
 
 def token_keys(token: str) -> set[str]:
@@ -109,7 +95,9 @@ def token_keys(token: str) -> set[str]:
     if token.endswith(".") and len(bare) >= 2 or len(bare) >= 3:
         keys.add(f"p:{bare}")
     if len(bare) >= 3 and consonants(bare) == bare:
-        keys.add(f"c:{bare}")
+        keys.add(f"c:{bare[0]}{bare[-1]}")
+    if len(bare) >= 4 and stem(bare) != bare:
+        keys.add(f"s:{stem(bare)}")
     return keys
 
 
@@ -121,16 +109,21 @@ def similarity(token: str, word: str, kind: str) -> float:
     if kind == "e":
         d = edit_distance(bare, word)
         return 1.0 - 0.15 * d if d <= edits_allowed(word) else 0.0
+    if kind == "c" and not abbreviates(bare, word):
+        return 0.0
+    if kind == "s":
+        return 0.9
     return 0.84 if kind == "p" and token.endswith(".") else 0.8
 
 
 def mapping(values: DataFrame, references: DataFrame, same_meaning: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """``values(field, value)`` distinct, to ``field, value, canonical, score``: the best entry of the field's list.
 
-    ``references(field, entry)`` holds the lists. A null value gives no row; blank values and values without letters
+    ``references(field, entry)`` holds the lists; ``same_meaning`` gives of a field's entry other phrases for it, separated by a comma and a
+    blank. A null value gives no row; blank values and values without letters
     are 'unmatched'; an entry itself maps to itself. Ties go to the closer token, then to the entry first in the alphabet.
     """
-    meant = SAME_MEANING if same_meaning is None else same_meaning
+    meant = same_meaning or {}
     phrases_schema = T.StructType([T.StructField(n, T.StringType()) for n in ("field", "entry", "phrase")] + [T.StructField("own", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def phrases(cols: dict[str, list]) -> dict[str, list]:

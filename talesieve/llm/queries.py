@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talesieve.llm import boilerplate, bpe, canonical, cutoff, lookalike, mojibake, names, packing, sentences, spans
 from talesieve.llm.arrowrun import records
+from talesieve.llm.meanings import SAME_MEANING
 from talesieve.sources.tables import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,12 @@ def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_rows(table(spark, sf_dir, "segments"), "seg_id", _lists(spark, sf_dir), SAME_MEANING)
+
+
+@query
+def p4_by_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p4_found``, by form alone: without words of the same meaning."""
     return canonical.map_rows(table(spark, sf_dir, "segments"), "seg_id", _lists(spark, sf_dir))
 
 
