@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder: smaller than a checkpoint, as it is compressed. It goes when the driver ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    atexit.register(_dropped, sc, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _dropped(sc, path: str) -> None:
+    try:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001, S110 - the session has ended before: the folder is the cluster's to clear
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, once per context, wherever the driver was started."""
     sc = spark.sparkContext
