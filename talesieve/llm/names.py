@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people, linked within a scope.
 
 A spelling is cut into tokens (case, accents, look-alikes, titles, word order, commas and underscores aside). Complete
-spellings are joined through a symmetric-delete neighbourhood of their tokens: the tokens of two spellings, assigned to
-one another at the least cost, may differ by one slip in all. What is linked in this way is one name. Shorter spellings
-(initials, a single name, a pet name, an acronym) are aligned with the complete ones by keys that permit initials and
-abbreviations, and join a name only if it is the only one that fits.
+spellings are joined through a symmetric-delete neighbourhood of any one of their tokens beside the first letters of the others; the
+tokens of the two, assigned to one another at the least cost, may differ by a slip or two in all, and an abbreviation may stand
+for what it begins. What is linked in this way is one name. Shorter spellings (initials, a single name, a pet name, an acronym)
+are aligned with the complete ones by keys that permit initials, abbreviations and slips, and join a name only if it is the only one
+that fits.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from talesieve.llm.canonical import deletions, edit_distance
 from talesieve.llm.lookalike import INTO, LATIN, compose, script_counts
 from talesieve.sources.tables import materialise
 
-#: Slips that the tokens of two spellings, assigned to one another, may have in all.
-MOST_SLIPS = 2
+#: Letters from which on the tokens of two spellings, assigned to one another, may have two slips in all instead of one.
+LONG = 12
 #: Words for no one in particular.
 NO_NAME = """narrator narration system unknown unnamed anonymous none null nobody somebody someone anyone everyone everybody all both
 he she it they we you i me him her them us his hers their who voice voices crowd people others other another stranger man woman
@@ -124,6 +125,10 @@ def slips_allowed(token: str) -> int:
     return 0 if len(token) < 3 else 1 if len(token) < 9 else 2
 
 
+def most_slips(a: list[str], b: list[str]) -> int:
+    return 1 + (min(sum(map(len, a)), sum(map(len, b))) >= LONG or len(a) == len(b) == 1)
+
+
 def slip_keys(whole: list[str]) -> set[str]:
     """Of each token its neighbourhood by deletion (of an abbreviation its beginning), with the first letters of the others."""
     keys = set()
@@ -272,7 +277,7 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     near_schema = T._parse_datatype_string("at string, a string, b string")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= MOST_SLIPS]
+        rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= most_slips(_tokens_of(x), _tokens_of(y))]
         return {c: [r[i] for r in rows] for i, c in enumerate(near_schema.names)}
 
     met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.at") == F.col("q.at")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.form") < F.col("q.form"))).select(F.col("p.at").alias("at"), F.col("p.form").alias("a"), F.col("q.form").alias("b")).distinct()

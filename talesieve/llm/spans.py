@@ -277,18 +277,18 @@ class SharedSpans:
         return self.kept.select("id", "h1", "h2").join(self.classes, ["h1", "h2"]).select("id", "rep", "n_copies")
 
 
-def shared_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
+def shared_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, index_chars: int = INDEX_CHARS) -> tuple[DataFrame, DataFrame]:
     """Pairs ``rep_a < rep_b`` of class representatives with a common span, and ``id, rep, n_copies``, the classes of equal texts."""
-    spans = SharedSpans(df, id_col, text_col, min_length)
+    spans = SharedSpans(df, id_col, text_col, min_length, index_chars)
     g = spans.groups()
     pairs = g.alias("p").join(g.alias("q"), (F.col("p.g1") == F.col("q.g1")) & (F.col("p.g2") == F.col("q.g2")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("rep_a"), F.col("q.id").alias("rep_b")).distinct()
     return pairs, spans.members()
 
 
-def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
+def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, index_chars: int = INDEX_CHARS) -> DataFrame:
     """``doc_a < doc_b`` of all texts with at least one common span of ``min_length`` characters: the pairs of representatives given
     to their copies, and the copies of a text among themselves."""
-    pairs, members = shared_classes(df, id_col, text_col, min_length)
+    pairs, members = shared_classes(df, id_col, text_col, min_length, index_chars)
     copied = members.where("n_copies > 1")
     a, b = copied.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), copied.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"))
     given = pairs.join(a, "rep_a", "left").join(b, "rep_b", "left").select(F.coalesce("a", "rep_a").alias("a"), F.coalesce("b", "rep_b").alias("b"))
@@ -296,10 +296,10 @@ def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return given.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).unionByName(among.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
 
 
-def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
+def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, index_chars: int = INDEX_CHARS) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_chars`` (0 for null), ``n_shared`` (characters within a span of ``min_length`` that stands in
     another text too) and ``share`` (0 for empty and null texts). No pairs are made."""
-    spans = SharedSpans(df, id_col, text_col, min_length)
+    spans = SharedSpans(df, id_col, text_col, min_length, index_chars)
     # union of the intervals: what each one adds beyond the furthest end before it
     w = Window.partitionBy("id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     reached = spans.intervals().withColumn("reach", F.coalesce(F.max("b").over(w), F.lit(0)))
