@@ -33,15 +33,15 @@ def as_array(df: DataFrame, key: list[str], order: list[str], fields: list[str])
     return df.groupBy(*key).agg(F.transform(ordered, lambda s: F.struct(*[s[f"f_{f}"].alias(f) for f in fields])).alias("segments"))
 
 
-def without_repeated_dialogue(df: DataFrame, key: list[str], order: list[str], id_col: str, threshold: float = SAME_LINE) -> DataFrame:
+def without_repeated_dialogue(df: DataFrame, key: list[str], order: list[str], id_col: str, threshold: float = SAME_LINE, carried: tuple[str, ...] = ()) -> DataFrame:
     """Rows that stay when a dialogue is dropped whose words are (nearly) those of the last kept row, itself a dialogue.
 
-    Result: ``key, id_col, index``. Word sets are made once per row; the fold compares with the last kept row only.
+    Result: ``key, id_col, index`` and the columns ``carried`` along. Word sets are made once per row; the fold compares with the last kept row only.
     """
     prepared = df.withColumn("ws", X.word_set(F.coalesce("text", F.lit(""))))
-    arrays = as_array(prepared, key, order, [id_col, "type", "ws"])
-    seg = "struct<{0}:{1},type:string,ws:array<string>>".format(id_col, df.schema[id_col].dataType.simpleString())
-    empty = F.array().cast(f"array<{seg}>")
+    fields = list(dict.fromkeys([id_col, "type", "ws", *carried]))
+    arrays = as_array(prepared, key, order, fields)
+    empty = F.array().cast("array<struct<" + ",".join(f"{f}:{prepared.schema[f].dataType.simpleString()}" for f in fields) + ">>")
 
     def step(kept: Column, s: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
@@ -49,7 +49,7 @@ def without_repeated_dialogue(df: DataFrame, key: list[str], order: list[str], i
         return F.when(F.coalesce(same, F.lit(False)), kept).otherwise(F.array_append(kept, s))
 
     kept = arrays.select(*key, F.posexplode(F.aggregate("segments", empty, step)).alias("index", "s"))
-    return kept.select(*key, F.col(f"s.{id_col}").alias(id_col), "index")
+    return kept.select(*key, F.col(f"s.{id_col}").alias(id_col), "index", *[F.col(f"s.{c}").alias(c) for c in carried])
 
 
 def merged(df: DataFrame, key: list[str], order: list[str], starts: DataFrame | None = None, incoming: int = MERGE_INCOMING, cap: int = MERGE_CAP, by: tuple[str, ...] = ("tone", "type")) -> DataFrame:

@@ -20,8 +20,7 @@ def labelled_segments(texts: DataFrame, key: list[str], factory) -> DataFrame:
     asked = texts.select(*key, labelling.prompt(F.col("text")).alias("prompt"))
     found = jsonrepair.recovered(labelling.labelled(asked, factory)).select(*key, F.posexplode("segments").alias("index", "s"))
     rows = S.validated(found.select(*key, "index", "s.type", "s.tone", "s.text"), key, ["index"])
-    kept = S.without_repeated_dialogue(rows.withColumn("_id", F.col("index")), key, ["index"], "_id").select(*key, F.col("_id").alias("old"), F.col("index").alias("new"))
-    return rows.join(kept.withColumnRenamed("old", "index"), [*key, "index"]).select(*key, F.col("new").alias("index"), "type", "tone", "text")
+    return S.without_repeated_dialogue(rows.withColumn("_id", F.col("index")), key, ["index"], "_id", carried=("type", "tone", "text")).drop("_id")
 
 
 def parsed(chapters: DataFrame, key: list[str], factory, gate: float = COVERAGE_GATE) -> DataFrame:

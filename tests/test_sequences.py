@@ -168,10 +168,14 @@ def test_blocks(spark):
 
 def test_json_recovery(spark):
     good = '[{"index": 0, "type": "dialogue", "tone": "calm", "text": "a"}]'
-    raws = {"ok": "```json\n" + good + "\n```", "repaired": good.replace("}]", "},]"), "partial": good.replace('"a"', '"she said "no" to me"'), "no_array": "sorry", "failed": "[nothing here]"}
+    raws = {"ok": "```json\n" + good + "\n```", "repaired": good.replace("}]", "},]"), "partial": good.replace('"a"', '"she said "no", to me"'), "no_array": "sorry", "failed": "[nothing here]"}
+    quoted = good.replace('"a"', '"she said "no" to me"')
     rows = {r.want: r for r in jsonrepair.recovered(spark.createDataFrame(list(raws.items()), "want string, raw string")).collect()}
     assert {w: r.status for w, r in rows.items()} == {w: w for w in raws}
-    assert rows["partial"].segments[0].text == 'she said "no" to me'
+    assert rows["partial"].segments[0].text == 'she said "no", to me'
+    # quotes within a text, without a comma or brace behind them, are escaped
+    row = jsonrepair.recovered(spark.createDataFrame([(quoted,)], "raw string")).first()
+    assert (row.status, row.segments[0].text) == ("repaired", 'she said "no" to me')
 
 
 def test_stitching(spark):
