@@ -122,7 +122,7 @@ def spelled(kind: str, whole: list[str], initials: list[str]) -> str:
 
 def slips_allowed(token: str) -> int:
     """Edits of one token: none of short ones, two of long ones."""
-    return 0 if len(token) < 3 else 1 if len(token) < 9 else 2
+    return 0 if len(token) < 3 else 1 if len(token) < 10 else 2
 
 
 def most_slips(a: list[str], b: list[str]) -> int:
@@ -204,11 +204,6 @@ def offered_keys(whole: list[str], initials: list[str]) -> list[tuple[str, str]]
             keys |= {(f"n:{t[:3]}|{tail}", t) for tail in (rest, "", *(f"{o[0]}." for o in others))}
         if t in ORGANISATIONS:
             keys.add((f"o:{rest}", ""))
-        # with a slip in a token: alone, beside initials
-        for d in deletions(t, slips_allowed(t)) if len(t) > 4 else ():
-            keys.add((f"S:{d}", t))
-            if len(others) == 1:
-                keys.add((f"I:{others[0][0]}|{d}", t))
     if any(map(_names_organisation, whole)):
         keys.add(("a:" + "".join(sorted(t[0] for t in whole)), ""))
     if initials:
@@ -216,6 +211,14 @@ def offered_keys(whole: list[str], initials: list[str]) -> list[tuple[str, str]]
     return sorted(keys)
 
 
+def slipped_keys(token: str, initial: str | None) -> list[str]:
+    """Keys under which a token of a name is found with slips in it: alone, or beside the first letter of the only other one."""
+    if len(token) < 5:
+        return []
+    near = deletions(token, slips_allowed(token))
+    return [f"S:{d}" for d in near] + ([f"I:{initial}|{d}" for d in near] if initial else [])
+
+
 def asked_keys(kind: str, whole: list[str], initials: list[str]) -> list[tuple[int, str, str]]:
     """Rank, key and stem of what a spelling looks for: those of the least rank first. The stem must begin the token found; one behind a
     tilde must be it but for slips."""
@@ -267,21 +270,25 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     alone = forms.where("kind = 'short' and size(whole) = 1 and size(initials) = 0 and length(whole[0]) > 4").select("at", "form", "whole")
     linkable = full.unionByName(alone).select("at", "form")
 
-    key_schema = T._parse_datatype_string("at string, form string, key string")
+    # keys and forms travel as hashes; what meets is looked at in full
+    scoped = F.xxhash64("at", "key").alias("h")
+    key_schema = T._parse_datatype_string("at string, f long, key string")
 
     def slips(cols: dict[str, list]) -> dict[str, list]:
-        rows = [(a, f, k) for a, f in zip(cols["at"], cols["form"]) for k in slip_keys(_tokens_of(f))]
+        rows = [(a, n, k) for a, n, f in zip(cols["at"], cols["f"], cols["form"]) for k in slip_keys(_tokens_of(f))]
         return {c: [r[i] for r in rows] for i, c in enumerate(key_schema.names)}
 
-    keyed = map_columns(linkable, key_schema, slips)
+    numbered = linkable.select("at", "form", F.xxhash64("at", "form").alias("f"))
+    keyed = map_columns(numbered, key_schema, slips).select(scoped, "f")
     near_schema = T._parse_datatype_string("at string, a string, b string")
 
     def judge(cols: dict[str, list]) -> dict[str, list]:
         rows = [(t, x, y) for t, x, y in zip(cols["at"], cols["a"], cols["b"]) if assigned_cost(_tokens_of(x), _tokens_of(y)) <= most_slips(_tokens_of(x), _tokens_of(y))]
         return {c: [r[i] for r in rows] for i, c in enumerate(near_schema.names)}
 
-    met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.at") == F.col("q.at")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.form") < F.col("q.form"))).select(F.col("p.at").alias("at"), F.col("p.form").alias("a"), F.col("q.form").alias("b")).distinct()
-    near = map_columns(met, near_schema, judge)
+    met = keyed.alias("p").join(keyed.alias("q"), (F.col("p.h") == F.col("q.h")) & (F.col("p.f") < F.col("q.f"))).select(F.col("p.f").alias("f"), F.col("q.f").alias("g")).distinct()
+    left, right = numbered.select("f", F.col("at").alias("at"), F.col("form").alias("a")), numbered.select(F.col("f").alias("g"), F.col("at").alias("at_b"), F.col("form").alias("b"))
+    near = map_columns(met.join(left, "f").join(right, "g").where("at = at_b").select("at", "a", "b"), near_schema, judge)
     linked = components(linkable, near)
     names_of = linked.join(full.select("at", "form"), ["at", "form"], "left_semi")
 
@@ -297,13 +304,24 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
         rows = [(a, f, *k) for a, f, t, w, i in zip(cols["at"], cols["form"], cols["kind"], cols["whole"], cols["initials"]) for k in asked_keys(t, w, i)]
         return {c: [r[i] for r in rows] for i, c in enumerate(ask_schema.names)}
 
-    def fit(asking: DataFrame, offering: DataFrame) -> DataFrame:
+    def slipped(cols: dict[str, list]) -> dict[str, list]:
+        rows = [(a, c, k, t) for a, c, t, i in zip(cols["at"], cols["label"], cols["token"], cols["initial"]) for k in slipped_keys(t, i)]
+        return {c: [r[i] for r in rows] for i, c in enumerate(offer_schema.names)}
+
+    def fit(asking: DataFrame, offering: DataFrame, with_slips: bool = False) -> DataFrame:
         """Of each asking form, the only name that fits at the least rank at which any fits."""
-        got = map_columns(asking.select("at", "form", "kind", "whole", "initials"), ask_schema, asks).join(map_columns(offering.select("at", "label", "whole", "initials"), offer_schema, offers), ["at", "key"])
+        offered = map_columns(offering.select("at", "label", "whole", "initials"), offer_schema, offers)
+        if with_slips:  # once a name and token, however often the name is spelled with it
+            other = F.when(F.size("whole") == 2, F.substring(F.get("whole", 1 - F.col("i")), 1, 1))
+            tokens = offering.select("at", "label", "whole", F.posexplode("whole").alias("i", "token")).select("at", "label", "token", other.alias("initial")).distinct()
+            offered = offered.unionByName(map_columns(tokens, offer_schema, slipped))
+        check = F.hash("at", "key").alias("h2")
+        sought = map_columns(asking.select("at", "form", "kind", "whole", "initials"), ask_schema, asks).select(scoped, check, "at", "form", "rank", "stem")
+        got = sought.join(offered.select(scoped, check, "label", "token"), ["h", "h2"])
         meant, letters = F.regexp_replace("stem", "^~", ""), lambda c: F.array_sort(F.split(c, ""))
         slips = F.levenshtein("token", meant)
         least = F.least(F.length("token"), F.length(meant))
-        near = (slips <= 1) | ((slips == 2) & (F.substring("token", 1, 1) == F.substring(meant, 1, 1)) & ((least >= 9) | (letters(F.col("token")) == letters(meant))))
+        near = (slips <= 1) | ((slips == 2) & (F.substring("token", 1, 1) == F.substring(meant, 1, 1)) & ((least >= 10) | (letters(F.col("token")) == letters(meant))))
         got = got.where((F.col("form") != F.col("label")) & F.when(F.startswith("stem", F.lit("~")), near).otherwise(F.startswith("token", F.col("stem"))))
         ranked = got.groupBy("at", "form", "rank").agg(F.min("label").alias("label"), F.max("label").alias("last"))
         best = ranked.groupBy("at", "form").agg(F.min_by(F.struct("label", "last"), "rank").alias("x"))
@@ -313,7 +331,7 @@ def linked_pairs(names: DataFrame, scope: str, name: str) -> DataFrame:
     pets = fit(whole, whole.join(names_of, ["at", "form"]))  # a pet name beside a complete one
     named = materialise(names_of.join(pets.withColumnRenamed("label", "to"), ["at", "form"], "left").select("at", "form", F.coalesce("to", "label").alias("label")))
     short = forms.where("kind != 'full'")
-    first = fit(short, whole.join(named, ["at", "form"]))
+    first = fit(short, whole.join(named, ["at", "form"]), with_slips=True)
     among = linked.join(alone.select("at", "form"), ["at", "form"], "left_semi").withColumnRenamed("label", "own")
     labels = materialise(short.select("at", "form").join(first, ["at", "form"], "left").join(among, ["at", "form"], "left").select("at", "form", F.coalesce("label", "own", "form").alias("label")).unionByName(named))
     # what is short and stands for itself may still be sought by what is shorter
