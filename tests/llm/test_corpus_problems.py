@@ -164,7 +164,7 @@ def test_packing(spark):
 
 
 def test_copies_have_a_container_each_and_sources_mix_rather_than_waste(spark):
-    df = spark.range(300).selectExpr("id", "10 as size", "'s' as source", "if(id < 20, 'same', id) as cluster")
+    df = spark.range(300).selectExpr("id", "10 as size", "'s' as source", "if(id < 20, 'same', cast(id as string)) as cluster")
     got = packing.pack(df, "id", "size", "source", "cluster", capacity=100).collect()
     assert len({r.container for r in got}) <= 33 and len({r.container for r in got if r.id < 20}) == 20
     copies = spark.range(10).selectExpr("id", "60 as size", "id as source", "null as cluster")
