@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from talesieve.llm import mojibake
 from talesieve.llm.arrowrun import bounded_sample, map_columns
 from talesieve.llm.lookalike import compose, fold
-from talesieve.llm.sentences import _end, TRAINING_TEXTS, Splitter, language
+from talesieve.llm.sentences import _end, Splitter, language
 from talesieve.llm.spans import _codes, gram_hashes
 from talesieve.sources.tables import stored
 
@@ -30,6 +30,8 @@ from talesieve.sources.tables import stored
 PREFIX, SHORT = 12, 4
 #: Characters by which a text may be longer or shorter than what it was taken from, between equal ends.
 SLIPS = 4
+#: Texts that the models are fitted on.
+TRAINING_TEXTS = 3000
 #: Bits of the filter on longer values: 8 MB are sent to the workers, whatever the corpus.
 FILTER_BITS = 1 << 26
 #: What is put in place of a lost end.

@@ -11,17 +11,25 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from talesieve.llm import mojibake
-from talesieve.llm.arrowrun import bounded_sample, map_columns
+from talesieve.llm.arrowrun import map_columns
 from talesieve.llm.lookalike import INVISIBLE, compose, fold
+from talesieve.sources.tables import stored
 
-#: Texts that the models are fitted on, about (twice as many at most), chosen by hash. All texts are classified.
-TRAINING_TEXTS = 3000
+#: Distinct rows of features that are fitted on the driver; more are fitted by the workers, with the same result.
+ROWS_ON_DRIVER = 500_000
 WIDTH = 1 << 18
 #: Words behind a quotation among which a verb of saying attributes it.
 NEAR = 7
@@ -67,37 +75,49 @@ _function_words = {
     }.items()
     for w in ws.split()
 }
-_letters = re.compile("[^\\W\\d_]")
 _scripts = [(lang, re.compile(f"[{chars}]")) for lang, chars in (("ru", "Ѐ-ӿ"), ("hi", "ऀ-ॿ"), ("th", "฀-๿"), ("ja", "぀-ヿ"), ("zh", "㐀-鿿"), ("ko", "가-힣"))]
 NOT_LATIN = ("ru", "hi", "th", "ja", "zh", "ko")
 _not_latin = re.compile("[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-鿿가-힣]")
 
 
+class _Scripts(dict):
+    """Of each character its language by script, and whether it is a letter."""
+
+    def __missing__(self, c: str) -> tuple[str | None, bool]:
+        got = self[c] = next((lang for lang, p in _scripts if p.match(c)), None), c.isalpha() or c.isalnum() and not c.isdecimal()
+        return got
+
+
+_script_of = _Scripts()
+
+
 def language(text: str) -> str:
     """A coarse guess by script and function words, good enough for a feature."""
-    part = text
-    if not part.isascii() and _not_latin.search(part):
-        counts = {lang: len(p.findall(part)) for lang, p in _scripts}
+    if not text.isascii() and _not_latin.search(text):
+        counts, letters = {lang: 0 for lang, _ in _scripts}, 0
+        for (lang, is_letter), n in Counter(map(_script_of.__getitem__, text)).items():
+            letters += n * is_letter
+            if lang:
+                counts[lang] += n
         if counts["ja"] * 6 > counts["zh"]:
             counts["ja"] += counts.pop("zh")
         best = max(counts, key=lambda k: counts[k])
-        if 2 * counts[best] > len(_letters.findall(part)) - sum(counts.values()):
+        if 2 * counts[best] > letters - sum(counts.values()):
             return best
-    votes: dict[str, int] = {}
-    for w in part.lower().split():
-        if (lang := _function_words.get(w)) is not None:
-            votes[lang] = votes.get(lang, 0) + 1
+    votes = Counter(map(_function_words.get, text.lower().split()))
+    del votes[None]
     return max(votes, key=lambda k: votes[k]) if votes else "xx"
 
 
-def line_language(line: str, of_text: str) -> str:
+def line_language(line: str, of_text: str, own: str | None = None) -> str:
     """The line's own language, as far as its script or function words tell; else that of its text, if in the same kind of script."""
-    own = language(line)
+    own = own or language(line)
     if own != "xx":
         return own
     return own if of_text in NOT_LATIN and (line.isascii() or _not_latin.search(line) is None) else of_text
 
 
+@lru_cache(1 << 17)
 def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (WIDTH - 1)
 
@@ -122,56 +142,154 @@ def clause_features(clause: str, lang: str) -> list[str]:
     return ["bias", f"n={min(n, 9)}", f"says={says}", f"says={says}|short={n <= 6}", f"low={bool(words) and words[0][:1].islower()}", f"comma={any(c in clause for c in ',，、')}", *[f"v={w}" for w in bare[1:4]], f"last={bare[-1] if bare else ''}"]
 
 
+def _pull(w: np.ndarray, slots: np.ndarray, sizes: np.ndarray, no: np.ndarray, yes: np.ndarray) -> np.ndarray:
+    """The gradient over distinct rows of slots. Each row's part is a multiple of 2**-20, so that their sum is the same in any order."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[slots], len(sizes)), -30, 30)))
+    part = np.rint(((no + yes) * p - yes) * (1 << 20)) / (1 << 20)
+    return np.bincount(slots, part[of], len(w))
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    packed, no, yes = (rows[c].to_pylist() if c == "slots" else rows[c].to_numpy() for c in ("slots", "no", "yes"))
+    return np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4, no, yes
+
+
+def fitted(gradient: Callable[[np.ndarray], np.ndarray], models: int, penalty: float = 0.3) -> list[MaximumEntropy]:
+    """Some models with slots one behind the other's, fitted by adaptive full gradients with a normal prior."""
+    w, scale = np.zeros(models * WIDTH), np.full(models * WIDTH, 1e-6)
+    for _ in range(ROUNDS):
+        g = gradient(w) + penalty * w
+        scale += g * g
+        w -= g / np.sqrt(scale)
+    return [MaximumEntropy(x) for x in w.astype(np.float32).reshape(models, WIDTH)]
+
+
 class MaximumEntropy:
-    """Two-class maximum entropy over hashed features, fitted by adaptive full gradients with a normal prior."""
-
-    def __init__(self, rows: list[list[str]], labels: list[int], penalty: float = 0.3) -> None:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        of = np.repeat(np.arange(len(rows)), sizes)
-        slots = np.fromiter((_slot(f) for r in rows for f in r), np.int64, int(sizes.sum()))
-        y = np.asarray(labels, float)
-        w, scale = np.zeros(WIDTH), np.full(WIDTH, 1e-6)
-        for _ in range(ROUNDS if len(rows) else 0):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[slots], len(rows)), -30, 30)))
-            g = np.bincount(slots, (p - y)[of], WIDTH) + penalty * w
-            scale += g * g
-            w -= g / np.sqrt(scale)
-        self.w = w.astype(np.float32)
-        self.fitted = bool(len(rows))
+    """Two-class maximum entropy over hashed features."""
+
+    def __init__(self, w: np.ndarray) -> None:
+        self.w = w
 
     def probability(self, features: list[str]) -> float:
         return float(1 / (1 + np.exp(-np.clip(sum(float(self.w[_slot(f)]) for f in features), -30, 30))))
 
 
-class Splitter:
-    """Both models, and what follows from them for whole texts."""
+_behind_comma = re.compile(r"[,，](?:[\"”»]|\s»)\s+(?=[^\s—–-])|[,，]“,?\s+(?=[a-zäöü])")
+
+
+class Places:
+    """Places whose class is known for certain, as distinct rows of slots, with how often they are of either class."""
+
+    def __init__(self) -> None:
+        self.rows: dict[bytes, list[int]] = {}
+        self.characters = np.zeros(mojibake.UNIGRAMS, np.int64), np.zeros(mojibake.BUCKETS, np.int64)
 
-    def __init__(self, texts: list[str]) -> None:
-        ends: tuple[list, list] = ([], [])
-        clauses: tuple[list, list] = ([], [])
-        behind_comma = re.compile(r"[,，](?:[\"”»]|\s»)\s+(?=[^\s—–-])|[,，]“,?\s+(?=[a-zäöü])")
+    def add(self, texts: list[str | None]) -> None:
+        ends: Counter[tuple] = Counter()
+        clauses: Counter[tuple] = Counter()
+        reliable = []
         for text in texts:
-            whole = language(text)
+            if not text:
+                continue
+            clean, whole = not mojibake.suspicious(text), None
+            reliable.append(text if clean else mojibake.reliable_pieces(text))
             for line in text.split("\n")[1:]:
                 s = line.rstrip()
-                if not s or mojibake.suspicious(s):
+                if not s or not clean and mojibake.suspicious(s):
                     continue
-                lang = line_language(s, whole)
+                if (lang := language(s)) == "xx":
+                    whole = whole or language(text)
+                    lang = line_language(s, whole, lang)
                 for m in _end.finditer(s):
                     at_end, mark = m.end() == len(s), m["marks"][-1]
                     if mark in "!?" or mark == "." and len(m["marks"]) < 2 and (at_end or s[m.end()].isspace()):
-                        token, before = self._token(s, m.start())
-                        for known in {lang, "xx" if lang in ("de", "fr", "es", "en") else lang}:  # short texts don't tell
-                            ends[0].append(left_features(token, known, before))
-                            ends[1].append(int(at_end or mark != "."))
-                if m := behind_comma.search(s):
-                    clauses[0].append(clause_features(_clause.match(s, m.end())[0], lang))
-                    clauses[1].append(1)
+                        ends[(*Splitter._token(s, m.start()), lang, at_end or mark != ".")] += 1
+                if m := _behind_comma.search(s):
+                    clauses[_clause.match(s, m.end())[0], lang, True] += 1
                 if not s.startswith(tuple(OPENING)):
-                    clauses[0].append(clause_features(_clause.match(s)[0], lang))
-                    clauses[1].append(0)
-        self.ends, self.attributes = MaximumEntropy(*ends), MaximumEntropy(*clauses)
-        self.characters = mojibake.Model(*(c.astype(np.float32) for c in mojibake.counted(texts)))
+                    clauses[_clause.match(s)[0], lang, False] += 1
+        for (token, before, lang, is_end), n in ends.items():
+            for known in {lang, "xx" if lang in ("de", "fr", "es", "en") else lang}:  # short texts don't tell
+                self._count(left_features(token, known, before), 0, is_end, n)
+        for (clause, lang, attributes), n in clauses.items():
+            self._count(clause_features(clause, lang), WIDTH, attributes, n)
+        for total, part in zip(self.characters, mojibake.counted_reliable([r for r in reliable if r])):
+            total += part
+
+    def _count(self, features: list[str], first: int, label: bool, n: int) -> None:
+        key = array("i", [first + _slot(f) for f in features]).tobytes()
+        self.rows.setdefault(key, [0, 0])[label] += n
+
+    def rows_as(self, schema: pa.Schema) -> pa.RecordBatch:
+        no, yes = zip(*self.rows.values()) if self.rows else ((), ())
+        found = {"slots": list(self.rows), "bucket": [None] * len(no), "no": no, "yes": yes}
+        return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
+
+    def characters_as(self, schema: pa.Schema) -> pa.RecordBatch:
+        both = np.concatenate(self.characters)
+        at = np.flatnonzero(both)
+        found = {"slots": [None] * len(at), "bucket": at, "no": both[at], "yes": np.zeros(len(at), np.int64)}
+        return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
+
+
+def trained(df: DataFrame, text_col: str = "text", rows_on_driver: int = ROWS_ON_DRIVER) -> Splitter:
+    """The models, fitted on all texts of ``df``. Only distinct rows of features are kept, and the driver holds ``rows_on_driver`` of them at most:
+    where there are more, each round's gradient is summed by the workers."""
+    schema = T.StructType([T.StructField("slots", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("bucket", "no", "yes"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, places = to_arrow_schema(schema), Places()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for k in range(0, len(texts), 1000):
+                places.add(texts[k : k + 1000])
+                if len(places.rows) > 100_000:
+                    yield places.rows_as(out)
+                    places.rows = {}
+        yield places.rows_as(out)
+        yield places.characters_as(out)
+
+    counts = stored(df.select(text_col).where(F.length(text_col) > 0).mapInArrow(run, schema).groupBy("slots", "bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")))
+    seen = counts.where("slots is null").select("bucket", "no").toPandas()
+    characters = np.zeros(mojibake.UNIGRAMS + mojibake.BUCKETS, np.int64)
+    characters[seen["bucket"].to_numpy(np.int64)] = seen["no"].to_numpy(np.int64)
+    rows = counts.where("slots is not null").drop("bucket")
+    if rows.count() <= rows_on_driver:
+        own = _unpacked(rows.toArrow())
+        return Splitter(fitted(lambda w: _pull(w, *own), 2), characters)
+    return Splitter(fitted(lambda w: _pull_by_workers(w, rows), 2), characters)
+
+
+def _pull_by_workers(w: np.ndarray, rows: DataFrame) -> np.ndarray:
+    sent = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(len(sent.value))
+        for batch in batches:
+            g += _pull(sent.value, *_unpacked(batch))
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(g[at], pa.float64())], names=["slot", "g"])
+
+    # few tasks, as each gives a value a slot
+    got = rows.coalesce(64).mapInArrow(run, "slot long, g double").groupBy("slot").agg(F.sum("g").alias("g")).toPandas()
+    sent.destroy()
+    g = np.zeros(len(w))
+    g[got["slot"].to_numpy(np.int64)] = got["g"].to_numpy(np.float64)
+    return g
+
+
+class Splitter:
+    """Both models, and what follows from them for whole texts. Made from texts, or from models fitted before and counts of characters."""
+
+    def __init__(self, fitted_on: list[str] | list[MaximumEntropy], characters: np.ndarray | None = None) -> None:
+        if characters is None:
+            places = Places()
+            places.add(fitted_on)
+            own = _unpacked(places.rows_as(pa.schema([("slots", pa.binary()), ("no", pa.int64()), ("yes", pa.int64())])))
+            fitted_on, characters = fitted(lambda w: _pull(w, *own), 2), np.concatenate(places.characters)
+        self.ends, self.attributes = fitted_on
+        self.characters = mojibake.Model(*(c.astype(np.float32) for c in np.split(characters, [mojibake.UNIGRAMS])))
         self.known: dict[tuple, bool] = {}
         self.clauses: dict[tuple, bool] = {}
 
@@ -236,10 +354,12 @@ class Splitter:
             got = self.known[key] = self.ends.probability(left_features(token, lang, before)) > (LEAST_END_BEFORE_FIGURE if first.isdigit() else LEAST_END)
         return got
 
-    def line_stops(self, line: str, lang: str) -> list[int]:
-        """Where units end within a line, its own end not included."""
-        found = [m.end() for m in _end.finditer(line) if m.end() < len(line) and self.is_boundary(line, m, lang)]
-        if lang == "th" or _thai.search(line):
+    def line_stops(self, line: str, of_line: Callable[[str], str]) -> list[int]:
+        """Where units end within a line, its own end not included. Its language is asked for only if there are candidates."""
+        candidates = [m for m in _end.finditer(line) if m.end() < len(line)]
+        lang = of_line(line) if candidates else ""
+        found = [m.end() for m in candidates if self.is_boundary(line, m, lang)]
+        if _thai.search(line):
             for m in _thai_space.finditer(line):
                 a, b = line[m.start() - 1], line[m.end()]
                 if not _near.match(a) and not _near.match(b) and (_thai.match(a) or _thai.match(b)):
@@ -250,7 +370,15 @@ class Splitter:
     def units(self, text: str, heading: str) -> list[tuple[int, int]]:
         """Begin and end of each unit; ``heading``: 'none', 'line' (the first line is one unit) or 'all' (every line is)."""
         out: list[tuple[int, int]] = []
-        lang, at, first = language(text), 0, True
+        of_text: list[str] = []
+
+        def of_line(line: str) -> str:
+            if (own := language(line)) == "xx" and len(line) < len(text):
+                of_text[:] = of_text or [language(text)]
+                own = line_language(line, of_text[0], own)
+            return own
+
+        at, first = 0, True
         for line in text.split("\n"):
             if line and not line.isspace():
                 if heading == "all" or heading == "line" and first:
@@ -258,7 +386,7 @@ class Splitter:
                 elif mojibake.suspicious(line):
                     stops = self._garbled_stops(line)
                 else:
-                    stops = self.line_stops(line, line_language(line, lang))
+                    stops = self.line_stops(line, of_line)
                 begin = 0
                 for stop in (*stops, len(line)):
                     piece = line[begin:stop]
@@ -273,16 +401,16 @@ class Splitter:
     def _garbled_stops(self, line: str) -> list[int]:
         """Those of the undone line, carried back to the stored characters."""
         undone, place = mojibake.best_undone(line, self.characters)
-        return [place[x] for x in self.line_stops(undone, language(undone))]
+        return [place[x] for x in self.line_stops(undone, language)]
 
 
-def split_texts(df: DataFrame, ids: list[str], text_col: str = "text", heading: str | None = None, training: DataFrame | None = None, training_texts: int = TRAINING_TEXTS) -> DataFrame:
+def split_texts(df: DataFrame, ids: list[str], text_col: str = "text", heading: str | None = None, training: DataFrame | None = None) -> DataFrame:
     """One row per unit: ``ids, start_pos, end_pos`` (code points of the stored text, end exclusive, no white space at
     either end). ``heading`` names a column with 'none', 'line' or 'all'. Null and blank texts have no unit. Repeated
     rows give their units each. Other columns are not read. The models are fitted on ``training`` (``df`` itself if
-    none): about ``training_texts`` of its texts."""
+    none), on all of its texts."""
     cols = [*ids, text_col] + ([heading] if heading else [])
-    splitter = Splitter(bounded_sample(df if training is None else training, text_col, training_texts))
+    splitter = trained(df if training is None else training, text_col)
     schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in ids], T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
     def run(batch: dict[str, list]) -> dict[str, list]:

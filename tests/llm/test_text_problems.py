@@ -89,6 +89,29 @@ def test_split_texts(spark):
     assert sentences.split_texts(df.where("false"), ["kind", "id"]).isEmpty()
 
 
+ABBREVIATED = "He met Qx. Toral at the gate."
+
+
+@pytest.fixture(scope="module")
+def many_texts(spark):
+    """More texts than the models were once fitted on; the abbreviation stands only in texts that a sample by hash leaves out."""
+    shown = spark.range(400).selectExpr(f"concat('Chapter ', id, '\n{ABBREVIATED}') AS text").where("pmod(xxhash64(text), 1 << 20) >= 1 << 19").limit(60)
+    return spark.range(9000).selectExpr("concat('Title ', id, '\nThe bell rang twice in the hall.') AS text").unionByName(shown).selectExpr("'n' AS novel", "cast(row_number() OVER (ORDER BY text) AS int) AS chapter_num", "text").cache()
+
+
+def test_units_rest_on_all_texts(spark, many_texts):
+    got = sentences.split_texts(spark.createDataFrame([(1, ABBREVIATED)], "id long, text string"), ["id"], training=many_texts)
+    assert [tuple(r) for r in got.collect()] == [(1, 0, len(ABBREVIATED))]
+
+
+def test_workers_fit_the_same_models(spark):
+    df = spark.createDataFrame([(t,) for t in [*CORPUS, None, ""]], "text string").repartition(3)
+    ours, theirs, at_once = sentences.trained(df), sentences.trained(df, rows_on_driver=0), sentences.Splitter(CORPUS)
+    for other in (theirs, at_once):
+        assert (ours.ends.w == other.ends.w).all() and (ours.attributes.w == other.attributes.w).all() and ours.ends.w.any() and ours.attributes.w.any()
+        assert (ours.characters.uni == other.characters.uni).all() and (ours.characters.bi == other.characters.bi).all()
+
+
 CHAPTER = "Chapter 1: The Gate\nThe bell rang twice in the hall. The old man walked to the gate, and the guards looked away. Nobody spoke.\n\n“I will go tonight,” Mira said.\n\n“We are lost\n\nHe waited... then left the room."
 
 
