@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from talesieve.llm import mojibake
-from talesieve.llm.arrowrun import bounded_sample, map_columns
+from talesieve.llm.arrowrun import map_columns
 from talesieve.llm.lookalike import compose, fold
-from talesieve.llm.sentences import _end, Splitter, language
+from talesieve.llm.sentences import _end, Splitter, language, trained
 from talesieve.llm.spans import _codes, gram_hashes
 from talesieve.sources.tables import stored
 
@@ -30,12 +30,11 @@ from talesieve.sources.tables import stored
 PREFIX, SHORT = 12, 4
 #: Characters by which a text may be longer or shorter than what it was taken from, between equal ends.
 SLIPS = 4
-#: Texts that the models are fitted on.
-TRAINING_TEXTS = 3000
 #: Bits of the filter on longer values: 8 MB are sent to the workers, whatever the corpus.
 FILTER_BITS = 1 << 26
 #: What is put in place of a lost end.
 END_MARKS = re.compile(r"\s*(?:\.{3,}|…|\[(?:\.{3}|…|cut|more)\]|\((?:\.{3}|…|cut|more)\)|[—–-]|>>|»{2})$", re.I)
+_mark_ends = tuple(".…])—–->»")
 _opening = re.compile(r"^[\s\"“”„«»「」『』()\[\]'’—–-]+")
 
 
@@ -105,7 +104,7 @@ def variants(text: str, characters: mojibake.Model) -> list[tuple[int, str]]:
     if mojibake.suspicious(text) and (undone := _plain(mojibake.best_undone(text, characters)[0])) != s:
         found.append((1, undone))
     last = found[-1][1]
-    if (core := END_MARKS.sub("", last)) != last and core:
+    if last.rstrip("\n").endswith(_mark_ends) and (core := END_MARKS.sub("", last)) != last and core:
         found.append((2, core))
     return found
 
@@ -190,7 +189,7 @@ def _goes_on(lost: str, nxt: str) -> bool:
     return n > 0 and a[:n] == b[:n]
 
 
-def cut_texts(df: DataFrame, longer: DataFrame, key: list[str], order: str, id_col: str, text_col: str = "text", training_texts: int = TRAINING_TEXTS) -> DataFrame:
+def cut_texts(df: DataFrame, longer: DataFrame, key: list[str], order: str, id_col: str, text_col: str = "text") -> DataFrame:
     """``id_col`` and ``lost`` (the lost end, as far as its line goes) of each text of ``df`` that was cut. A text that ends in
     a comma is taken to go on in a next text that is null or blank.
 
@@ -200,7 +199,7 @@ def cut_texts(df: DataFrame, longer: DataFrame, key: list[str], order: str, id_c
     matches a null. Rows are brought together by key and prefix, so that no key is in one task; no text is compared with more
     than those that begin like it.
     """
-    splitter = Splitter(bounded_sample(longer, text_col, training_texts))
+    splitter = trained(longer, text_col)
     id_type = df.schema[id_col].dataType
     # as JSON, in which nulls are values like others
     k = F.xxhash64(F.to_json(F.struct(*key), {"ignoreNullFields": "false"})).alias("k")

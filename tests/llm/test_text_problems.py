@@ -104,6 +104,11 @@ def test_units_rest_on_all_texts(spark, many_texts):
     assert [tuple(r) for r in got.collect()] == [(1, 0, len(ABBREVIATED))]
 
 
+def test_cut_texts_rest_on_all_texts(spark, many_texts):
+    df = many_texts.where("text LIKE 'Chapter%'").selectExpr("novel", "chapter_num", "1 AS index", "cast(chapter_num AS long) AS seg_id", "'He met Qx.' AS text")
+    assert cutoff.cut_texts(df, many_texts, ["novel", "chapter_num"], "index", "seg_id").count() == df.count() == 60
+
+
 def test_workers_fit_the_same_models(spark):
     df = spark.createDataFrame([(t,) for t in [*CORPUS, None, ""]], "text string").repartition(3)
     ours, theirs, at_once = sentences.trained(df), sentences.trained(df, rows_on_driver=0), sentences.Splitter(CORPUS)
