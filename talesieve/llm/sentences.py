@@ -29,7 +29,7 @@ from talesieve.llm.lookalike import INVISIBLE, compose, fold
 from talesieve.sources.tables import stored
 
 #: Distinct rows of features that are fitted on the driver; more are fitted by the workers, with the same result.
-ROWS_ON_DRIVER = 500_000
+ROWS_ON_DRIVER = 2_000_000
 WIDTH = 1 << 18
 #: Words behind a quotation among which a verb of saying attributes it.
 NEAR = 7
@@ -144,15 +144,24 @@ def clause_features(clause: str, lang: str) -> list[str]:
 
 def _pull(w: np.ndarray, slots: np.ndarray, sizes: np.ndarray, no: np.ndarray, yes: np.ndarray) -> np.ndarray:
     """The gradient over distinct rows of slots. Each row's part is a multiple of 2**-20, so that their sum is the same in any order."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[slots], len(sizes)), -30, 30)))
-    part = np.rint(((no + yes) * p - yes) * (1 << 20)) / (1 << 20)
-    return np.bincount(slots, part[of], len(w))
+    g, bounds = np.zeros(len(w)), np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), 100_000):  # what is made on the way takes several times the room of the rows
+        b = min(a + 100_000, len(sizes))
+        own, of = slots[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), sizes[a:b])
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[own], b - a), -30, 30)))
+        part = np.rint(((no + yes)[a:b] * p - yes[a:b]) * (1 << 20)) / (1 << 20)
+        g += np.bincount(own, part[of], len(w))
+    return g
 
 
 def _unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    packed, no, yes = (rows[c].to_pylist() if c == "slots" else rows[c].to_numpy() for c in ("slots", "no", "yes"))
-    return np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4, no, yes
+    packed, no, yes = rows["slots"], rows["no"].to_numpy(), rows["yes"].to_numpy()
+    if not len(packed):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), no, yes
+    packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int32), np.diff(ends) // 4, no, yes
 
 
 def fitted(gradient: Callable[[np.ndarray], np.ndarray], models: int, penalty: float = 0.3) -> list[MaximumEntropy]:
