@@ -40,9 +40,7 @@ for _row in LOOKALIKES:
 FOLD = str.maketrans(INTO[LATIN])
 
 _invisible = re.compile(f"[{INVISIBLE}]").sub
-_spaces = re.compile(r"[^\S\n]+").sub
 _line_ends = re.compile(r"\r\n?|\u2028|\u2029|\x85(?=\s)").sub
-_around = re.compile(r" ?\n ?").sub
 # characters whose compatibility form looks different: raised and lowered figures, fractions, circles, lone accents
 _kept = re.compile("[¨ª¯²-µ¸-º¼-¾˘-˝⁰-ₜ™⅐-↋①-⓿]+")
 _token = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ̀-ͯͰ-ϿЀ-ԯḀ-῿]+")
@@ -68,8 +66,9 @@ def compose(text: str) -> str:
             s = unicodedata.normalize("NFKC", s)
     if "\r" in s or "\u2028" in s or "\u2029" in s:
         s = _line_ends("\n", s)
-    s = _spaces(" ", s)
-    return _around("\n", s).strip() if "\n" in s else s.strip()
+    if "\n" in s:
+        return "\n".join([" ".join(line.split()) for line in s.split("\n")]).strip("\n")
+    return " ".join(s.split())
 
 
 def script_counts(token: str) -> Counter:

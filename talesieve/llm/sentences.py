@@ -62,6 +62,7 @@ _thai = re.compile("[฀-๿]")
 _near = re.compile("[0-9A-Za-z０-９Ａ-Ｚａ-ｚÀ-ɏ๐-๙]")
 _ideographic = re.compile(f"[{_wide}]")
 _ends_token = frozenset("\"“”„«»「」『』()[]<>—¡¿,，、")
+_between = re.compile(f"[\\s{re.escape(''.join(_ends_token))}]")
 _next = re.compile(r"\s*([\"“„«「『（(\[‘‹《【¡¿<]*)\s*([—–-]?)\s*([^\s,.!?…。！？।]*)")
 _clause = re.compile(r"[^.!?…。！？।\n]*")
 _digits = re.compile(r"\d+")
@@ -95,7 +96,8 @@ def language(text: str) -> str:
     """A coarse guess by script and function words, good enough for a feature."""
     if not text.isascii() and _not_latin.search(text):
         counts, letters = {lang: 0 for lang, _ in _scripts}, 0
-        for (lang, is_letter), n in Counter(map(_script_of.__getitem__, text)).items():
+        for c, n in Counter(text).items():
+            lang, is_letter = _script_of[c]
             letters += n * is_letter
             if lang:
                 counts[lang] += n
@@ -104,9 +106,8 @@ def language(text: str) -> str:
         best = max(counts, key=lambda k: counts[k])
         if 2 * counts[best] > letters - sum(counts.values()):
             return best
-    votes = Counter(map(_function_words.get, text.lower().split()))
-    del votes[None]
-    return max(votes, key=lambda k: votes[k]) if votes else "xx"
+    votes = [lang for lang in map(_function_words.get, text.lower().split()) if lang]
+    return max(dict.fromkeys(votes), key=votes.count) if votes else "xx"
 
 
 def line_language(line: str, of_text: str, own: str | None = None) -> str:
@@ -134,12 +135,11 @@ def left_features(left: str, lang: str, before: str = "") -> list[str]:
 def clause_features(clause: str, lang: str) -> list[str]:
     """Of the words behind a quotation."""
     words = clause.split()
-    bare = [w.strip(",;:—–-\"“”").lower() for w in words]
+    bare = [w.strip(",;:—–-\"“”").lower() for w in (*words[:NEAR], *words[-1:])]
     spaced = lang not in ("zh", "ja", "th")
     n = len(words) if spaced else len(clause.strip()) // 3
-    said = next((i for i, w in enumerate(bare) if w in SAYING), None) if spaced else 0 if clause.strip().endswith(SAYING_ENDINGS) else None
-    says = str(said is not None and said < NEAR)  # further away it says nothing about who speaks the quotation
-    return ["bias", f"n={min(n, 9)}", f"says={says}", f"says={says}|short={n <= 6}", f"low={bool(words) and words[0][:1].islower()}", f"comma={any(c in clause for c in ',，、')}", *[f"v={w}" for w in bare[1:4]], f"last={bare[-1] if bare else ''}"]
+    says = not SAYING.isdisjoint(bare[: min(len(words), NEAR)]) if spaced else clause.strip().endswith(SAYING_ENDINGS)  # further away it says nothing about who speaks the quotation
+    return ["bias", f"n={min(n, 9)}", f"says={says}", f"says={says}|short={n <= 6}", f"low={bool(words) and words[0][:1].islower()}", f"comma={',' in clause or '，' in clause or '、' in clause}", *[f"v={w}" for w in bare[1 : min(len(words), 4)]], f"last={bare[-1] if bare else ''}"]
 
 
 def _pull(w: np.ndarray, slots: np.ndarray, sizes: np.ndarray, no: np.ndarray, yes: np.ndarray) -> np.ndarray:
@@ -211,8 +211,9 @@ class Places:
                     whole = whole or language(text)
                     lang = line_language(s, whole, lang)
                 for m in _end.finditer(s):
-                    at_end, mark = m.end() == len(s), m["marks"][-1]
-                    if mark in "!?" or mark == "." and len(m["marks"]) < 2 and (at_end or s[m.end()].isspace()):
+                    stop, marks = m.end(), m[1]
+                    at_end, mark = stop == len(s), marks[-1]
+                    if mark in "!?" or mark == "." and len(marks) < 2 and (at_end or s[stop].isspace()):
                         ends[(*Splitter._token(s, m.start()), lang, at_end or mark != ".")] += 1
                 if m := _behind_comma.search(s):
                     clauses[_clause.match(s, m.end())[0], lang, True] += 1
@@ -305,8 +306,10 @@ class Splitter:
     @staticmethod
     def _token(line: str, stop: int) -> tuple[str, str]:
         """The token before a mark; of a figure also the token before it."""
-        begin = stop
-        while begin and not (line[begin - 1].isspace() or line[begin - 1] in _ends_token):
+        begin = max(stop - 30, line.rfind(" ", max(stop - 30, 0), stop) + 1, 0)
+        for m in _between.finditer(line, begin, stop):
+            begin = m.end()
+        while begin and not (line[begin - 1].isspace() or line[begin - 1] in _ends_token):  # longer ones
             begin -= 1
         word, before = line[begin:stop], ""
         if word[-1:].isdigit():

@@ -1,10 +1,13 @@
 """Sentences, cut ends, encodings, look-alikes: cases made by hand, and what must not crash."""
 
 import random
+import re
+import unicodedata
 
 import pytest
+from pyspark.sql import types as T
 
-from talesieve.llm import cutoff, lookalike, mojibake, sentences
+from talesieve.llm import arrowrun, cutoff, lookalike, mojibake, sentences
 
 LINES = [
     "The bell rang twice in the hall. Mr. Toral walked to the gate at 6.30 p.m. by the tower clock. The old man was tired.",
@@ -143,6 +146,41 @@ def test_cut_texts(spark):
     assert sorted(r.seg_id for r in cutoff.cut_texts(df, longer.where("false"), ["novel", "chapter_num"], "index", "seg_id").collect()) == [120, 123]
 
 
+def test_cut_texts_are_judged_without_needless_work(spark, splitter, monkeypatch):
+    calls = []
+    kept = cutoff.END_MARKS
+    monkeypatch.setattr(cutoff, "END_MARKS", type("Counted", (), {"sub": lambda _, *a: calls.append(a) or kept.sub(*a)})())
+    assert cutoff.variants("The bell rang twice in the hall.", splitter.characters) == [(0, "The bell rang twice in the hall.")] and not calls
+    assert cutoff.variants("Nobody [cut]", splitter.characters)[1:] == [(2, "Nobody")] and len(calls) == 1
+    monkeypatch.setattr(cutoff, "language", lambda line: calls.append(line))
+    group = cutoff.Group(splitter)
+    group.values = {"The bell rang twice in the hall, and the old man was tired."}
+    group.texts = [((1, 7, 1, False, True), 0, max(group.values)), ((2, 7, 2, False, False), 0, max(group.values)), ((3, 7, 3, False, True), 0, "The bell rang twice")]
+    # a text of one form that is whole is sent on to nobody
+    assert [r[0] for r in group.judged()] == [2, 3] and len(calls) == 1
+
+
+def test_batches_in_parts(spark):
+    rows = [("a", 1, "xx"), ("b", None, None), ("c", 3, "yyyyyy"), ("d", 4, ""), ("e", 5, "z")]
+    df = spark.createDataFrame(rows, "id string, n long, text string").coalesce(1)
+    f = lambda b: {"id": b["id"], "n": arrowrun.as_list(b["n"]), "size": [b.num_rows] * b.num_rows, "text": arrowrun.as_list(b["text"])}
+    got = [tuple(r) for r in arrowrun.map_arrays(df, T._parse_datatype_string("id string, n long, size int, text string"), f, "text", 5).collect()]
+    assert got == [(i, n, 3 if i in "abc" else 2, t) for i, n, t in rows]
+
+
+def test_plain_definitions_of_quick_functions(splitter):
+    shuffled = random.Random(7)
+    odd = ["".join(shuffled.choice("ab.!?,，、\"“” \t\r\n\x1c\x85\xa0\u2028\u3000 19said") for _ in range(shuffled.randrange(90))) for _ in range(3000)]
+    for text in odd:
+        s = re.sub(r"\r\n?|\u2028|\u2029|\x85(?=\s)", "\n", unicodedata.normalize("NFKC", text)) if set("\r\u2028\u2029") & set(text) else unicodedata.normalize("NFKC", text)
+        assert lookalike.compose(text) == re.sub(r" ?\n ?", "\n", re.sub(r"[^\S\n]+", " ", s)).strip()
+        for m in re.finditer("[.!?]", text):
+            begin = m.start()
+            while begin and not (text[begin - 1].isspace() or text[begin - 1] in sentences._ends_token):
+                begin -= 1
+            assert splitter._token(text, m.start())[0] == text[begin : m.start()]
+
+
 def garble(text, real, read):
     return text.encode(real).decode(read, "replace")
 
