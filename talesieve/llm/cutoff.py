@@ -31,8 +31,10 @@ from talesieve.sources.tables import stored
 PREFIX, SHORT = 12, 4
 #: Characters by which a text may be longer or shorter than what it was taken from, between equal ends.
 SLIPS = 4
-#: Bits of the filter on longer values: 8 MB are sent to the workers, whatever the corpus.
+#: Bits of the filter on longer values, two of which are set for a prefix: 8 MB are sent to the workers, whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Where in a hash the bits begin that name a place in the filter.
+FILTER_SHIFTS = 0, 26
 #: What is put in place of a lost end.
 END_MARKS = re.compile(r"\s*(?:\.{3,}|…|\[(?:\.{3}|…|cut|more)\]|\((?:\.{3}|…|cut|more)\)|[—–-]|>>|»{2})$", re.I)
 _mark_ends = ("...", "…", "]", ")", "—", "–", "-", ">>", "»»")
@@ -92,8 +94,10 @@ def offered_places(lines: list[str], keys: list[int], known: np.ndarray) -> Iter
     for size in (PREFIX, SHORT):
         fit = left >= size
         h = (gram_hashes(codes, size)[places[fit]] ^ np.uint64(size) ^ mixed[line[fit]]).view(np.int64)
-        slot = np.mod(h, FILTER_BITS)
-        hit = (known[slot >> 6] >> (slot & 63) & 1).astype(bool)
+        hit = np.arange(len(h))
+        for shift in FILTER_SHIFTS:
+            slot = h[hit] >> shift & (FILTER_BITS - 1)
+            hit = hit[(known[slot >> 6] >> (slot & 63) & 1).astype(bool)]
         own, at = line[fit][hit], places[fit][hit]
         yield h[hit], own, at - (ends - sizes)[own]
 
@@ -225,8 +229,8 @@ def cut_texts(df: DataFrame, longer: DataFrame, key: list[str], order: str, id_c
 
     asked = stored(map_arrays(texts.where("coalesce(pos, 1) > 0 and length(trim(text)) > 0"), met_schema, ask, "text"))
     # a bitmap of fixed size says which prefixes are asked for at all; what it lets pass is joined exactly
-    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    words = asked.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    slots = asked.select(F.explode(F.array(*[F.shiftright("h", s).bitwiseAND(FILTER_BITS - 1) for s in FILTER_SHIFTS])).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     packed = df.sparkSession.sparkContext.broadcast(bits)

@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -160,6 +161,18 @@ def test_cut_texts_are_judged_without_needless_work(spark, splitter, monkeypatch
     assert [r[0] for r in group.judged()] == [2, 3] and len(calls) == 1
 
 
+def test_filter_asks_for_two_bits():
+    line = "The bell rang twice in the hall."
+    own = int(cutoff.prefix_hashes([line], [7])[0])
+    known = np.zeros(cutoff.FILTER_BITS // 64, np.int64)
+    found = []
+    for shift in (0, 26):
+        slot = own >> shift & (cutoff.FILTER_BITS - 1)
+        known[slot >> 6] |= np.int64(1) << np.int64(slot & 63)
+        found.append([(h, i, at) for part in cutoff.offered_places([line], [7], known) for h, i, at in zip(*(c.tolist() for c in part))])
+    assert found == [[], [(own, 0, 0)]]
+
+
 def test_batches_in_parts(spark):
     rows = [("a", 1, "xx"), ("b", None, None), ("c", 3, "yyyyyy"), ("d", 4, ""), ("e", 5, "z")]
     df = spark.createDataFrame(rows, "id string, n long, text string").coalesce(1)
